@@ -6,13 +6,13 @@ cube method turns these into 0 or 1 while each source's sums over documents of p
 probability times words stay what they were: three open documents have a direction in which both
 sums stand still, the null space of the constraints; moving along it until one probability
 becomes 0 or 1 settles that document, and the next takes its place (flight). At the end at most two
-stay open, and those and a source's ``LAND`` shortest are settled so that the words come nearest to
+stay open, and those and a source's ``LAND`` longest are settled so that the words come nearest to
 the target (landing, by trying all ways).
 
 Sources are dealt into blocks of about ``BLOCK`` documents by a hash of the id, so a source with a third
 of all rows is many blocks; a block streams through with a few open documents in memory. What blocks
 leave open (two each at most) is dealt into blocks again until a source has one, which lands.
-Longer documents come first, so that short ones are left for the landing.
+Short documents come first: the landing tries all ways to take the longest, whose many sums come very near.
 
 The driver gets one row for each source. Results depend on the rows alone, not on how they are dealt.
 
@@ -227,7 +227,7 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     n_blocks, level = max((t[5] for t in table), default=1), 0
     while True:
         last = n_blocks == 1
-        dealt = open_.repartition(blk).sortWithinPartitions(F.col(blk), F.desc(size), order, id_col)
+        dealt = open_.repartition(blk).sortWithinPartitions(F.col(blk), F.col(size), order, id_col)
         moved = _fly(dealt, blk, size, prob, copies, level, last)
         if last:
             result = result.unionByName(moved)
