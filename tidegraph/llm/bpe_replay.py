@@ -135,22 +135,21 @@ class MergeReplay:
 
 
 class Codec:
-    """Encodes and decodes texts; remembers words and units within a bound."""
+    """Encodes and decodes texts; remembers units within a bound."""
 
-    def __init__(self, ranks_path: str, pattern: str, limit: int = 400_000, block: int = 2_000_000):
+    def __init__(self, ranks_path: str, pattern: str, limit: int = 300_000, block: int = 2_000_000):
         self.replay = MergeReplay(load_ranks(ranks_path))
         inside = pattern.replace(r"[^\s", rf"[^{_BLANK}").replace(r"\S", f"[^{_BLANK}]").replace(r"\s", f"[{_BLANK}]")
         self.find = regex.compile(inside).findall
-        self.words: dict[str, bytes] = {}
-        self.limit, self.block = limit, block
+        self.block = block
         self.units = Units(self._units, limit)
         self.bytes_of = [self.replay.token.get(i, b"") for i in range(max(self.replay.token) + 1)]
 
     def _units(self, units: list[str]) -> list[bytes]:
-        if len(self.words) > self.limit:
-            self.words = {}
+        """Ids of units that are not remembered: their distinct words are a block's corpus."""
         found = [self.find(u) for u in units]
-        new = list({w for ws in found for w in ws if w not in self.words})
+        words: dict[str, bytes] = {}
+        new = list({w for ws in found for w in ws})
         at = 0
         while at < len(new):
             some, size = [], 0
@@ -159,8 +158,8 @@ class Codec:
                 size += len(new[at])
                 at += 1
             for w, ids in zip(some, self.replay.encode_words([x.encode("utf-8", "surrogatepass") for x in some]), strict=True):
-                self.words[w] = array("I", ids).tobytes()
-        get = self.words.__getitem__
+                words[w] = array("I", ids).tobytes()
+        get = words.__getitem__
         return [b"".join(map(get, ws)) for ws in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:

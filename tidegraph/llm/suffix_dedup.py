@@ -217,7 +217,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, crc, lo, hi): byte ranges covered by strings of ``length`` bytes that start elsewhere too."""
     found = written(_anchor_rows(docs, id_col, text_col, length), "suffix-anchors")
     leads = found.groupBy("lead").agg(F.count("*").alias("m"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("m > 1")
-    leads = leads.select("lead", "m", (F.col("c0") == F.col("c1")).alias("alike"))
+    leads = written(leads.select("lead", "m", (F.col("c0") == F.col("c1")).alias("alike")), "suffix-leads")  # so a frequent token's join can be split
     shared = written(found.join(leads, "lead"), "suffix-shared")
     span = lambda d: d.select(id_col, "crc", "lo", (F.col("lo") + F.col("n") + length - 1).alias("hi"))
 

@@ -1,8 +1,8 @@
 """Token ids as Arrow files of equal-length sequences.
 
 ``write_tokens`` range-partitions documents by id, encodes each range in id order and writes it as one
-Arrow IPC file (a shard): record batches of ``fixed_size_list<uint32>[length]`` tokens and
-``fixed_size_list<uint8>[length]`` masks. Only a shard's last sequence is padded (mask 0). The index
+Arrow IPC file (a shard): record batches of ``fixed_size_list[length]`` of tokens (uint16
+where all ids fit, else uint32) and of masks (bits). Only a shard's last sequence is padded (mask 0). The index
 table says for each document its shard, the offset in it and its length, so a reader maps a shard and
 slices any sequence or document without copying or decoding.
 
@@ -42,24 +42,32 @@ def units_of(path: str) -> Units:
     return _known[path]
 
 
-def shard_schema(length: int) -> pa.Schema:
-    return pa.schema([("tokens", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def shard_schema(length: int, kind: type) -> pa.Schema:
+    return pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
+
+
+def id_type(tokenizer: str) -> type:
+    """The smallest of uint16 and uint32 that holds all ids of a tokenizers file."""
+    from tokenizers import Tokenizer
+
+    return np.uint16 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else np.uint32
 
 
 class ShardWriter:
     """Streams ids into one file; ``close`` pads, ends the file and gives it its name."""
 
-    def __init__(self, uri: str, length: int, per_batch: int):
+    def __init__(self, uri: str, length: int, per_batch: int, kind: type):
         self.where, self.path = filesystem(uri)
         self.where.create_dir(self.path.rpartition("/")[0], recursive=True)
         task = TaskContext.get()
         self.part = f"{self.path}.{task.taskAttemptId() if task else 0}.tmp"
         self.length, self.size, self.held, self.n_held, self.total = length, length * per_batch, [], 0, 0
+        self.kind, self.file_schema = kind, shard_schema(length, kind)
         self.out = self.where.open_output_stream(self.part)
-        self.file = pa.ipc.new_file(self.out, shard_schema(length))
+        self.file = pa.ipc.new_file(self.out, self.file_schema)
 
     def add(self, raw: bytes) -> None:
-        self.held.append(np.frombuffer(raw, np.uint32))
+        self.held.append(np.frombuffer(raw, np.uint32).astype(self.kind))
         self.n_held += len(raw) // 4
         self.total += len(raw) // 4
         if self.n_held >= self.size:
@@ -71,15 +79,15 @@ class ShardWriter:
             self.held, self.n_held = [whole[at:]], len(whole) - at
 
     def _batch(self, ids: np.ndarray, n: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:n] = 1
+        mask = np.zeros(len(ids), bool)
+        mask[:n] = True
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-        self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=shard_schema(self.length)))
+        self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.file_schema))
 
     def close(self) -> None:
         if self.n_held:
             whole = np.concatenate(self.held)
-            padded = np.zeros(-(-len(whole) // self.length) * self.length, np.uint32)
+            padded = np.zeros(-(-len(whole) // self.length) * self.length, self.kind)
             padded[: len(whole)] = whole
             self._batch(padded, len(whole))
         self.file.close()
@@ -102,8 +110,9 @@ class ShardReader:
     def batch(self, k: int) -> np.ndarray:
         if k != self.at:
             b = self.file.get_batch(k)
-            ids, mask = (c.flatten().to_numpy() for c in b.columns)
-            self.at, self.values = k, ids if k < self.n - 1 or mask[-1] else ids[: int(mask.sum())]
+            ids = b.column(0).flatten().to_numpy()
+            n = len(ids) if k < self.n - 1 else b.column(1).flatten().true_count
+            self.at, self.values = k, ids[:n]
         return self.values
 
     def slice(self, start: int, n: int) -> np.ndarray:
@@ -116,7 +125,7 @@ class ShardReader:
             parts.append(part)
             n -= len(part)
             k, at = k + 1, 0
-        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, self.values.dtype if self.values is not None else np.uint32)
 
 
 def shard_uri(folder: str, k: int) -> str:
@@ -127,12 +136,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     """Writes the shards into ``folder`` (a URI all executors see); returns the index as a written table."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], np.uint32).tobytes()
+    end, kind = np.array([end_id], np.uint32).tobytes(), id_type(tokenizer)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("shard", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
         k = TaskContext.get().partitionId()
-        out = ShardWriter(shard_uri(folder, k), length, per_batch)
+        out = ShardWriter(shard_uri(folder, k), length, per_batch, kind)
         for b in batches:
             starts, sizes = [], []
             encoder = units_of(tokenizer)

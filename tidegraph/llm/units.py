@@ -14,13 +14,22 @@ from collections.abc import Callable
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: Characters that, after a letter or digit, begin a token of their own up to the next blank.
+_STOPS = ".,;:!?\"*&%$#"
+
+
 class Units:
-    """``encode_many(units)`` gives the little-endian 32-bit ids of each unit as bytes."""
+    """``encode_many(units)`` gives the little-endian 32-bit ids of each unit as bytes.
+
+    Two memories of up to ``limit`` entries each: units, and units without the stops at their end. The
+    first that come stay, which in natural text are the frequent ones; others live for one step.
+    """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.encode_many, self.limit = encode_many, limit
-        self.head: dict[str, bytes] = {}  # without a blank before
+        self.head: dict[str, bytes] = {}  # units without a blank before
         self.tail: dict[str, bytes] = {}  # with one
+        self.core: dict[str, bytes] = {}
         self.newline = encode_many(["\n"])[0]
 
     @staticmethod
@@ -30,33 +39,49 @@ class Units:
             return [line.split(" ") for line in text.split("\n")]
         return [_CUT.split(text)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], step_size: int = 8_000_000) -> list[bytes]:
         """Ids of each text, as bytes."""
         out = []
         at = 0
         while at < len(texts):  # in steps, so that the cuts in memory stay bounded
             step, size = [], 0
-            while at < len(texts) and (not step or size < 8_000_000):
+            while at < len(texts) and (not step or size < step_size):
                 size += len(texts[at])
                 step.append(self.cut(texts[at]))
                 at += 1
-            self._learn(step)
+            surplus = self._learn(step)
             tail, head = self.tail.__getitem__, self.head
             for lines in step:
                 out.append(self.newline.join([head[x[0]] + b"".join(map(tail, x[1:])) for x in lines]))
+            for memory, keys in surplus:
+                for k in keys:
+                    del memory[k]
         return out
 
-    def _learn(self, cuts: list[list[list[str]]]) -> None:
-        if len(self.head) + len(self.tail) > self.limit:
-            self.head, self.tail = {}, {}
+    def _learn(self, cuts: list[list[list[str]]]) -> list[tuple[dict, list[str]]]:
+        """Adds the units of a step; what has to go after it."""
         first = {x[0] for lines in cuts for x in lines}
         later: set[str] = set()
         for lines in cuts:
             for x in lines:
                 later.update(x)
-        new = [x for x in first if x not in self.head]
-        for x, v in zip(new, self.encode_many(new), strict=True):
-            self.head[x] = v
-        new = [x for x in later if x not in self.tail]
-        for x, v in zip(new, self.encode_many([" " + x for x in new]), strict=True):
-            self.tail[x] = v
+        new_head = [x for x in first if x not in self.head]
+        new_tail = [x for x in later if x not in self.tail]
+        parts, wanted = [], {}
+        for x in [*new_head, *(" " + x for x in new_tail)]:
+            core = x.rstrip(_STOPS)
+            if len(core) == len(x) or not core or not core[-1].isalnum():
+                core, stops = x, ""
+            else:
+                stops = x[len(core) :]
+                wanted[stops] = None
+            wanted[core] = None
+            parts.append((core, stops))
+        new_core = [x for x in wanted if x not in self.core]
+        self.core.update(zip(new_core, self.encode_many(new_core), strict=True))
+        get = self.core
+        ids = [get[a] + get[b] if b else get[a] for a, b in parts]
+        self.head.update(zip(new_head, ids))
+        self.tail.update(zip(new_tail, ids[len(new_head) :]))
+        pairs = ((self.head, new_head), (self.tail, new_tail), (self.core, new_core))
+        return [(m, keys) for m, keys in pairs if len(m) > self.limit]
