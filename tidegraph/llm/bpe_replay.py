@@ -39,15 +39,16 @@ class MergeReplay:
         self.ranks = ranks
         self.token = {v: k for k, v in ranks.items()}
         self.single = [ranks[bytes([i])] for i in range(256)]
-        self.pair: dict[tuple[int, int], int] = {}
+        self.pair: dict[int, int] = {}
 
     def rank(self, a: int, b: int) -> int:
         """The rank of two neighbours' merge, -1 if there is none."""
-        got = self.pair.get((a, b))
+        key = a << 32 | b
+        got = self.pair.get(key)
         if got is None:
-            if len(self.pair) > 1_000_000:
+            if len(self.pair) > 300_000:
                 self.pair.clear()
-            got = self.pair[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
+            got = self.pair[key] = self.ranks.get(self.token[a] + self.token[b], -1)
         return got
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
@@ -137,7 +138,7 @@ class MergeReplay:
 class Codec:
     """Encodes and decodes texts; remembers units within a bound."""
 
-    def __init__(self, ranks_path: str, pattern: str, limit: int = 300_000, block: int = 2_000_000):
+    def __init__(self, ranks_path: str, pattern: str, limit: int = 200_000, block: int = 500_000):
         self.replay = MergeReplay(load_ranks(ranks_path))
         inside = pattern.replace(r"[^\s", rf"[^{_BLANK}").replace(r"\S", f"[^{_BLANK}]").replace(r"\s", f"[{_BLANK}]")
         self.find = regex.compile(inside).findall
@@ -180,9 +181,11 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``keep`` columns and ``ids`` (binary, little-endian 32-bit) of every whole text."""
-    schema = docs.select(*keep).schema.add("ids", "binary")
+def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """``keep`` columns and, of every whole text, n_tokens, ids_sha256 and decoded_sha256 (digests of the
+    little-endian 32-bit ids and of the bytes that they decode to), and ``ids`` (binary) if asked for."""
+    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema.add("ids", "binary") if with_ids else schema
 
     def run(batches):
         c = codec(ranks_path, pattern)
@@ -190,39 +193,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...]
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
                 ids = c.encode([t or "" for t in part.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(ids, pa.binary())], names=schema.fieldNames())
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                digests = [[hashlib.sha256(f(x)).hexdigest() for x in ids] for f in (bytes, c.decode)]
+                cols = [*part.columns[1:], pa.array(n), *(pa.array(d, pa.string()) for d in digests)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary())] if with_ids else cols, names=schema.fieldNames())
 
     return docs.select(F.col(text_col).alias("_text_of_ids"), *keep).mapInArrow(run, schema)
 
 
-def digest(encoded: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Number and digest of the ids, and the digest of the bytes they decode to."""
-    schema = encoded.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-
-    def run(batches):
-        c = codec(ranks_path, pattern)
-        for b in batches:
-            raw = b.column(0).to_pylist()
-            n = np.array([len(x) // 4 for x in raw], np.int64)
-            hashes = [hashlib.sha256(x).hexdigest() for x in raw]
-            back = [hashlib.sha256(c.decode(x)).hexdigest() for x in raw]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n), pa.array(hashes, pa.string()), pa.array(back, pa.string())], names=schema.fieldNames())
-
-    return encoded.select("ids", *keep).mapInArrow(run, schema)
-
-
 def op7_bpe_replay(spark, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
     import public_tokenizers as P
 
     where = ranks_path or P.path("byte_bpe_multi_50k.tiktoken")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digest(encode(docs, where, P.PATTERN), where, P.PATTERN)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), where, P.PATTERN, with_ids=False)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each kept document's ids, with number and digests."""
     import public_tokenizers as P
 
-    where = P.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(docs, where, P.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
-    return ids.withColumn("n_tokens", (F.length("ids") / 4).cast("long")).withColumn("ids_sha256", F.sha2("ids", 256))
+    return encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))

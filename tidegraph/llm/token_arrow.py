@@ -15,6 +15,7 @@ order of a hash of their text; an empty table gives shards without sequences and
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 
@@ -34,6 +35,7 @@ _known: dict[str, Units] = {}
 def units_of(path: str) -> Units:
     """The worker's encoder of a tokenizers file; strings of special tokens are ordinary text."""
     if path not in _known:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would spin
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -146,8 +148,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
             starts, sizes = [], []
             encoder = units_of(tokenizer)
             texts = b.column(1)
-            for i in range(0, b.num_rows, 512):
-                for raw in encoder.encode([t or "" for t in texts.slice(i, 512).to_pylist()]):
+            for i in range(0, b.num_rows, 2000):
+                for raw in encoder.encode([t or "" for t in texts.slice(i, 2000).to_pylist()]):
                     raw += end
                     starts.append(out.total)
                     sizes.append(len(raw) // 4)
