@@ -138,7 +138,7 @@ class MergeReplay:
 class Codec:
     """Encodes and decodes texts; remembers units within a bound."""
 
-    def __init__(self, ranks_path: str, pattern: str, limit: int = 200_000, block: int = 500_000):
+    def __init__(self, ranks_path: str, pattern: str, limit: int = 300_000, block: int = 500_000):
         self.replay = MergeReplay(load_ranks(ranks_path))
         inside = pattern.replace(r"[^\s", rf"[^{_BLANK}").replace(r"\S", f"[^{_BLANK}]").replace(r"\s", f"[{_BLANK}]")
         self.find = regex.compile(inside).findall

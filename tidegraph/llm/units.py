@@ -8,6 +8,7 @@ only saves time: what it lacks is encoded again.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 
@@ -25,7 +26,7 @@ class Units:
     first that come stay, which in natural text are the frequent ones; others live for one step.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 300_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 400_000):
         self.encode_many, self.limit = encode_many, limit
         self.head: dict[str, bytes] = {}  # units without a blank before
         self.tail: dict[str, bytes] = {}  # with one
@@ -41,6 +42,15 @@ class Units:
 
     def encode(self, texts: list[str], step_size: int = 8_000_000) -> list[bytes]:
         """Ids of each text, as bytes."""
+        collected = gc.isenabled()
+        gc.disable()  # millions of short lists without cycles: the collector would walk them in vain
+        try:
+            return self._encode(texts, step_size)
+        finally:
+            if collected:
+                gc.enable()
+
+    def _encode(self, texts: list[str], step_size: int) -> list[bytes]:
         out = []
         at = 0
         while at < len(texts):  # in steps, so that the cuts in memory stay bounded
