@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .units import Units
 
 _BLANK = r"\t-\r \x85\xa0  -     　"
@@ -210,6 +211,7 @@ def op7_bpe_replay(spark, sf_dir: str, ranks_path: str | None = None) -> DataFra
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each kept document's ids, with number and digests."""
+    small_batches(spark)
     import public_tokenizers as P
 
     return encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))

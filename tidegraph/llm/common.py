@@ -85,8 +85,17 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows in this session, which bounds a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once, for clusters where it is not installed."""
+    small_batches(spark)
     sc = spark.sparkContext
     if getattr(sc, "_tidegraph_shipped", False):
         return

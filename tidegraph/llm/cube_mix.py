@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, written
+from .common import free_name, small_batches, written
 
 BLOCK = 4096
 LAND = 12  # documents that wait for the landing, beside the two that the flight leaves
@@ -249,6 +249,7 @@ def op10_cube_mix(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each row as many times as the mix takes it."""
+    small_batches(spark)
     mixed = with_copies(docs, names=("_cube_size", "_cube_source_size", "_cube_target", "_cube_copies"))
     many = mixed.columns[-1]
     return mixed.where(F.col(many) > 0).withColumn("_cube_each", F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).select(*docs.columns)

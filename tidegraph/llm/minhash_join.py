@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .graph import components
 from .rolling import LOWER, Prefix, U, mix, text_chunks
 
@@ -323,6 +323,7 @@ def op9_minhash_join(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str, percent: int = 80) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the row of the smallest id stays (five words, 0.8)."""
+    small_batches(spark)
     groups = near_duplicates(docs, percent=percent)
     gone = groups.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
