@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 from .units import Units
 
 _BLANK = r"\t-\r \x85\xa0  -     　"
@@ -47,7 +47,7 @@ class MergeReplay:
         key = a << 32 | b
         got = self.pair.get(key)
         if got is None:
-            if len(self.pair) > 300_000:
+            if len(self.pair) > 150_000:
                 self.pair.clear()
             got = self.pair[key] = self.ranks.get(self.token[a] + self.token[b], -1)
         return got
@@ -172,24 +172,24 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(raw).cast("I")))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(ranks_path: str, pattern: str) -> Codec:
-    key = (ranks_path, pattern)
+def codec(ranks_path: str, pattern: str, limit: int) -> Codec:
+    key = (ranks_path, pattern, limit)
     if key not in _codecs:
         _codecs[key] = Codec(*key)
     return _codecs[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = True, limit: int = 300_000) -> DataFrame:
     """``keep`` columns and, of every whole text, n_tokens, ids_sha256 and decoded_sha256 (digests of the
-    little-endian 32-bit ids and of the bytes that they decode to), and ``ids`` (binary) if asked for."""
+    little-endian 32-bit ids and of the bytes that they decode to), and ``ids`` (binary) if asked for. A worker remembers up to ``limit`` units."""
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     schema = schema.add("ids", "binary") if with_ids else schema
 
     def run(batches):
-        c = codec(ranks_path, pattern)
+        c = codec(ranks_path, pattern, limit)
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...]
                 cols = [*part.columns[1:], pa.array(n), *(pa.array(d, pa.string()) for d in digests)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary())] if with_ids else cols, names=schema.fieldNames())
 
-    return docs.select(F.col(text_col).alias("_text_of_ids"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).alias("_text_of_ids"), *keep).mapInArrow(tidy(run), schema)
 
 
 def op7_bpe_replay(spark, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
@@ -210,8 +210,9 @@ def op7_bpe_replay(spark, sf_dir: str, ranks_path: str | None = None) -> DataFra
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each kept document's ids, with number and digests."""
+    """Pipeline stage: each kept document's ids, with number and digests. Workers come from other stages
+    and remember less here, to leave room for what those have loaded."""
     small_batches(spark)
     import public_tokenizers as P
 
-    return encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
+    return encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, keep=("doc_id", "lang", "source", "n_chars"), limit=60_000)

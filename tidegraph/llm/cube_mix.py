@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, small_batches, written
+from .common import free_name, small_batches, tidy, written
 
 BLOCK = 4096
 LAND = 12  # documents that wait for the landing, beside the two that the flight leaves
@@ -195,7 +195,7 @@ def _fly(rows: DataFrame, block: str, size: str, prob: str, copies: str, level:
         if flight is not None:
             yield from finish()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, block: int = BLOCK, names: tuple[str, str, str, str] = ("size", "source_size", "target", "copies")) -> DataFrame:

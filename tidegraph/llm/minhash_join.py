@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, tidy, written
 from .graph import components
 from .rolling import LOWER, Prefix, U, mix, text_chunks
 
@@ -144,7 +144,7 @@ def _describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
                     keys[i], sigs[i] = k, s.tobytes()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(sizes)), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=[id_col, "n_shingles", "key", "sig"])
 
-    return docs.select(id_col, F.col(text_col).alias("_t")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("_t")).mapInArrow(tidy(run), schema)
 
 
 def _tokens(sigs: DataFrame, m: int, keep: str, kind: str) -> DataFrame:
@@ -159,7 +159,7 @@ def _tokens(sigs: DataFrame, m: int, keep: str, kind: str) -> DataFrame:
                 token = mix(s.astype(np.uint64) * U(0xD6E8FEB86659FD93) + place)
                 yield pa.RecordBatch.from_arrays([pa.array(token.ravel().view(np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), m)))], names=["token", keep])
 
-    return sigs.select(keep, "sig").mapInArrow(run, f"token long, {keep} {kind}")
+    return sigs.select(keep, "sig").mapInArrow(tidy(run), f"token long, {keep} {kind}")
 
 
 def _nodes(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _nodes(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["nid", "key", "n", "sketch", "sig", "elements"])
 
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(wanted, F.col("_i").eqNullSafe(F.col("rep")))
-    return rows.select("_t", "key").mapInArrow(run, "nid long, key binary, n long, sketch binary, sig binary, elements binary")
+    return rows.select("_t", "key").mapInArrow(tidy(run), "nid long, key binary, n long, sketch binary, sig binary, elements binary")
 
 
 def _find(parent: dict, x):
@@ -255,7 +255,7 @@ def _candidates(lists: DataFrame, nodes: DataFrame, percent: int, forest: bool)
         if (out := close()) is not None:
             yield out
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -274,7 +274,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * inter >= percent * (len(p) + len(q) - inter))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ea", "eb").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 RATE, PACKET, SAMPLES, BOUNDS = 8000, 8192, 1, 2
 _NONE = (1 << 64) - 1
 _FLIP = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -175,7 +177,7 @@ def with_media(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: s
                 media = [encode((t or "").encode("utf-8", "surrogatepass")) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(media, pa.binary())], names=schema.fieldNames())
 
-    return docs.select(F.col(text_col).alias("_text_of_media"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).alias("_text_of_media"), *keep).mapInArrow(tidy(run), schema)
 
 
 def with_features(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -194,7 +196,7 @@ def with_features(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.fieldNames())
 
-    return media.select("media", *keep).mapInArrow(run, schema)
+    return media.select("media", *keep).mapInArrow(tidy(run), schema)
 
 
 def op4_ogg_media(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .textstats import features, stats_table
 
 
@@ -114,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
     rows = (
         docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("k")).join(F.broadcast(sample), "k").select("text", F.col("k").cast("string").alias("k"), "y")
-        .mapInArrow(run, "x array<double>, k string, y double").collect()
+        .mapInArrow(tidy(run), "x array<double>, k string, y double").collect()
     )
     rows.sort(key=lambda r: (r.k, r.y, r.x))
     return fit(np.array([r.x for r in rows]).reshape(len(rows), -1), np.array([r.y for r in rows]), **how)
@@ -129,7 +130,7 @@ def score(docs: DataFrame, forest: Forest, text_col: str = "text", keep: tuple[s
             s = forest.score(features(stats_table(b.column(0).to_pylist())))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], names=[*keep, name])
 
-    return docs.select(F.col(text_col).alias("_text_of_score"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).alias("_text_of_score"), *keep).mapInArrow(tidy(run), schema)
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:

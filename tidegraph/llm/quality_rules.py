@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, tidy
 from .textstats import NAMES, stats_table
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -113,7 +113,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> LabelModel:
             seen.update(x.tobytes() for x in votes(stats_table(b.column(0).to_pylist())))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
-    found = docs.select(F.col(text_col)).mapInArrow(count, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    found = docs.select(F.col(text_col)).mapInArrow(tidy(count), "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     return fit_em({bytes(r.pattern): r.n for r in found}, len(RULES))
 
 
@@ -140,7 +140,7 @@ def judge(docs: DataFrame, model: LabelModel, text_col: str = "text", columns: t
             else:
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(c[k]) for k in BASE), pa.array(failed), pa.array(kept), pa.array(p)], names=names)
 
-    return docs.select(F.col(text_col).alias("_text_of_rules"), *columns).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).alias("_text_of_rules"), *columns).mapInArrow(tidy(run), schema)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .rolling import TABLE, Prefix, U, mix, text_chunks
 
 ANCHOR = 64
@@ -100,7 +100,7 @@ def _anchor_rows(docs: DataFrame, id_col: str, text_col: str, length: int) -> Da
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _keyed(docs, id_col, text_col).where(F.octet_length("_t") >= length)
-    return rows.select("_i", "_t", "_crc").mapInArrow(run, f"{id_col} {kind}, crc int, lead long, context long, at int, lo int, n int")
+    return rows.select("_i", "_t", "_crc").mapInArrow(tidy(run), f"{id_col} {kind}, crc int, lead long, context long, at int, lo int, n int")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -188,7 +188,7 @@ def _sorted_repeats(suffixes: DataFrame, id_col: str, length: int) -> DataFrame:
         if held and (out := close(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return ranged.mapInArrow(run, f"{id_col} {kind}, crc int, lo int, hi int")
+    return ranged.mapInArrow(tidy(run), f"{id_col} {kind}, crc int, lo int, hi int")
 
 
 def _counted_repeats(suffixes: DataFrame, id_col: str, length: int) -> DataFrame:
@@ -208,7 +208,7 @@ def _counted_repeats(suffixes: DataFrame, id_col: str, length: int) -> DataFrame
                 start = (lo[owner] + place).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column(4).take(pick), part.column(6).take(pick), part.column(7).take(pick), pa.array(start)], names=["one", "two", "done", id_col, "crc", "lo"])
 
-    rows = suffixes.select("lead", "at", "lo", "n", "done", "ctx", id_col, "crc").mapInArrow(run, f"one long, two long, done boolean, {id_col} {kind}, crc int, lo int")
+    rows = suffixes.select("lead", "at", "lo", "n", "done", "ctx", id_col, "crc").mapInArrow(tidy(run), f"one long, two long, done boolean, {id_col} {kind}, crc int, lo int")
     again = rows.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     return rows.where("not done").join(again, ["one", "two"]).select(id_col, "crc", "lo", (F.col("lo") + length).alias("hi"))
 
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(tidy(run), f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filesystem, local_path, shared_dir, written
+from .common import filesystem, local_path, shared_dir, tidy, written
 from .units import Units
 
 _known: dict[str, Units] = {}
@@ -158,7 +158,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         out.close()
 
     ranged = docs.select(id_col, F.col(text_col).alias("_text")).repartitionByRange(shards, id_col, F.xxhash64("_text")).sortWithinPartitions(id_col, F.xxhash64("_text"))
-    return written(ranged.mapInArrow(run, schema), "token-index")
+    return written(ranged.mapInArrow(tidy(run), schema), "token-index")
 
 
 def read_documents(index: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
@@ -185,7 +185,7 @@ def read_documents(index: DataFrame, folder: str, id_col: str = "doc_id") -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.int64())], names=schema.fieldNames())
 
     base = spark.createDataFrame(bases, "shard int, base long")
-    return index.mapInArrow(run, schema).join(F.broadcast(base), "shard").select(id_col, (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    return index.mapInArrow(tidy(run), schema).join(F.broadcast(base), "shard").select(id_col, (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
 def op3_token_arrow(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
