@@ -175,7 +175,7 @@ class Codec:
 _codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(ranks_path: str, pattern: str, limit: int) -> Codec:
+def codec(ranks_path: str, pattern: str, limit: int = 300_000) -> Codec:
     key = (ranks_path, pattern, limit)
     if key not in _codecs:
         _codecs[key] = Codec(*key)

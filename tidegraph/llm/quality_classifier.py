@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tidy
-from .textstats import features, stats_table
+from .textstats import FEATURES, features, stats_table
 
 
 @dataclass
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
         .mapInArrow(tidy(run), "x array<double>, k string, y double").collect()
     )
     rows.sort(key=lambda r: (r.k, r.y, r.x))
-    return fit(np.array([r.x for r in rows]).reshape(len(rows), -1), np.array([r.y for r in rows]), **how)
+    return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows]), **how)
 
 
 def score(docs: DataFrame, forest: Forest, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
