@@ -222,7 +222,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = lambda d: d.select(id_col, "crc", "lo", (F.col("lo") + F.col("n") + length - 1).alias("hi"))
 
     mixed = shared.where("not alike")
-    classes = mixed.groupBy("lead", "context").agg(F.count("*").alias("c"), F.min(F.struct("crc", "at", id_col)).alias("first"))
+    classes = written(mixed.groupBy("lead", "context").agg(F.count("*").alias("c"), F.min(F.struct("crc", "at", id_col)).alias("first")), "suffix-classes")
     mixed = mixed.join(classes, ["lead", "context"])
     first = (F.col("first.crc") == F.col("crc")) & (F.col("first.at") == F.col("at")) & F.col(f"first.{id_col}").eqNullSafe(F.col(id_col))
     # one suffix of each class stands for it in the sort; classes of two or more are repeats already

@@ -40,7 +40,7 @@ def units_of(path: str) -> Units:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _known[path] = Units(lambda xs: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)])
+        _known[path] = Units(lambda xs: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)], limit=600_000)
     return _known[path]
 
 
@@ -130,6 +130,19 @@ class ShardReader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, self.values.dtype if self.values is not None else np.uint32)
 
 
+def merged(batches, rows: int = 4000):
+    """Arrow batches put together up to about ``rows`` rows: a unit is looked up once for each."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def shard_uri(folder: str, k: int) -> str:
     return f"{folder}/shard-{k:06d}.arrow"
 
@@ -144,12 +157,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     def run(batches):
         k = TaskContext.get().partitionId()
         out = ShardWriter(shard_uri(folder, k), length, per_batch, kind)
-        for b in batches:
+        for b in merged(batches):
             starts, sizes = [], []
             encoder = units_of(tokenizer)
             texts = b.column(1)
-            for i in range(0, b.num_rows, 2000):
-                for raw in encoder.encode([t or "" for t in texts.slice(i, 2000).to_pylist()]):
+            for i in range(0, b.num_rows, 4000):
+                for raw in encoder.encode([t or "" for t in texts.slice(i, 4000).to_pylist()]):
                     raw += end
                     starts.append(out.total)
                     sizes.append(len(raw) // 4)
