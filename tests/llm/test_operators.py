@@ -294,3 +294,45 @@ def test_pipeline_stages_follow_each_other(spark, docs):
     text = {r.doc_id: r.text for r in before.collect()}
     for r in at.limit(20).collect():
         assert np.frombuffer(r.ids, np.uint32).tolist() == library.encode_ordinary(text[r.doc_id])
+
+
+def test_stages_keep_extra_columns_of_any_name(spark, docs, odd, empty):
+    """Names the stages use inside, and names of their own results, pass through unharmed."""
+    import corpus_pipeline
+
+    names = ("_was", "_row", "_row_one", "_src", "_blocks", "_cube_src", "_cube_each", "_cube_copies", "_cube_block", "size", "kept", "n_words", "key", "rep", "nid", "token", "component_id", "n_shingles", "value", "before", "_t", "_i", "_k", "s", "h")
+    for df in (docs.limit(60), odd, empty):
+        wide = df
+        for i, n in enumerate(names):
+            wide = wide.withColumn(n, F.concat(F.lit(f"{i}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, wide, DATA)
+            assert out.columns == wide.columns, name
+            for r in out.collect():
+                assert all(r[n] == f"{i}:{'none' if r.doc_id is None else r.doc_id}" for i, n in enumerate(names)), name
+        assert corpus_pipeline.STAGES[-1][1](spark, wide, DATA).count() == df.count()
+
+
+def test_operators_ignore_or_keep_extra_columns(spark, odd, tmp_path):
+    wide = odd.withColumns({n: F.lit("x") for n in ("shard", "at", "n_tokens", "media", "score", "kept", "crc", "lead", "context", "lo", "hi", "n", "spans", "key", "sig", "_t", "_i", "_k", "_crc", "_text", "_f", "start", "ids")})
+    n = odd.count()
+    index = token_arrow.write_tokens(wide, f"file://{tmp_path}/w", P.path("byte_bpe_50k.json"), length=64, shards=2)
+    assert token_arrow.read_documents(index, f"file://{tmp_path}/w").count() == n
+    assert ogg_media.with_features(ogg_media.with_media(wide)).count() == n
+    assert bpe_replay.encode(wide, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == n
+    assert suffix_dedup.remove_repeats(wide).count() == n
+    assert minhash_join.near_duplicates(wide).count() == n
+    assert quality_rules.judge(wide, quality_rules.learn(wide), columns=("doc_id", "n")).count() == n
+    assert secret_scan.redact(wide, secret_scan.train(secret_scan.labelled_findings(spark))).columns == wide.columns
+    assert cube_mix.with_copies(wide).count() == n
+
+
+def test_near_duplicate_stage_tells_rows_by_id_and_text(spark):
+    a = " ".join(f"a{i}" for i in range(80))
+    b = " ".join(f"b{i}" for i in range(80))
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (7, b + " more", "x"), (None, a, "x"), (None, "c d e f g h", "x"), (9, "one of two rows stays", "z"), (9, "one of two rows stays", "y"), (11, "", "x"), (11, "", "x"), (12, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 4):
+        out = minhash_join.stage(spark, df.repartition(parts), DATA)
+        want = [(3, a, "x"), (5, b, "x"), (None, "c d e f g h", "x"), (9, "one of two rows stays", "y"), (11, "", "x"), (11, "", "x"), (12, None, "x")]
+        assert collections.Counter(map(tuple, out.collect())) == collections.Counter(want)

@@ -17,7 +17,8 @@ Short documents come first: the landing tries all ways to take the longest, whos
 The driver gets one row for each source. Results depend on the rows alone, not on how they are dealt.
 
 Defined results: null text has size 0; null source is a source of its own, the last; a source without
-words has target 0; repeated rows are documents of their own; an empty table gives an empty result.
+words has target 0; repeated rows are documents of their own; an empty table gives an empty result;
+extra columns of any name stay.
 """
 
 from __future__ import annotations
@@ -206,7 +207,7 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """
     spark = docs.sparkSession
     size, source_size, target, copies = (free_name(docs.columns, n) for n in names)
-    blk, prob, order = (free_name(docs.columns, n) for n in ("_cube_block", "_cube_prob", "_cube_order"))
+    blk, prob, order, src_col, blocks_col = (free_name(docs.columns, n) for n in ("_cube_block", "_cube_prob", "_cube_order", "_cube_src", "_cube_blocks"))
     sized = docs.withColumn(size, F.col(size_col).cast("long") if size_col else F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
     found = sized.groupBy(source_col).agg(F.sum(size).alias("s"), F.count("*").alias("n")).collect()
     sizes = {r[0]: r["s"] for r in found}
@@ -216,11 +217,11 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         each = min(most, goal[r[0]] / r["s"]) if r["s"] else 0.0
         whole = math.floor(each + _EPS)
         table.append((r[0], r["s"], float(goal[r[0]]), int(whole), max(0.0, each - whole) if each - whole > _EPS else 0.0, max(1, -(-r["n"] // block))))
-    about = spark.createDataFrame(table, T.StructType([T.StructField("_src", T.StringType()), T.StructField(source_size, T.LongType()), T.StructField(target, T.DoubleType()), T.StructField(copies, T.LongType()), T.StructField(prob, T.DoubleType()), T.StructField("_blocks", T.LongType())]))
+    about = spark.createDataFrame(table, T.StructType([T.StructField(src_col, T.StringType()), T.StructField(source_size, T.LongType()), T.StructField(target, T.DoubleType()), T.StructField(copies, T.LongType()), T.StructField(prob, T.DoubleType()), T.StructField(blocks_col, T.LongType())]))
     # One row for each source; the join is broadcast only where Spark finds the table small.
-    rows = sized.join(about, F.col(source_col).eqNullSafe(F.col("_src")))
+    rows = sized.join(about, F.col(source_col).eqNullSafe(F.col(src_col)))
     salt = F.xxhash64(F.col(id_col), F.col(size), F.lit(17))
-    rows = rows.withColumn(blk, F.to_json(F.struct(F.col("_src").alias("s"), F.pmod(salt, F.col("_blocks")).alias("b")))).withColumn(order, salt).drop("_src", "_blocks")
+    rows = rows.withColumn(blk, F.to_json(F.struct(F.col(src_col).alias("s"), F.pmod(salt, F.col(blocks_col)).alias("b")))).withColumn(order, salt).drop(src_col, blocks_col)
 
     result = rows.where(F.col(prob) == 0)
     open_ = rows.where(F.col(prob) > 0)
@@ -252,4 +253,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     mixed = with_copies(docs, names=("_cube_size", "_cube_source_size", "_cube_target", "_cube_copies"))
     many = mixed.columns[-1]
-    return mixed.where(F.col(many) > 0).withColumn("_cube_each", F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).select(*docs.columns)
+    return mixed.where(F.col(many) > 0).withColumn(free_name(mixed.columns, "_cube_each"), F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).select(*docs.columns)

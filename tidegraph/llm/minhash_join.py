@@ -19,7 +19,8 @@ the driver are counts.
 
 Defined results: null or wordless texts are empty and linked with nothing; repeated rows share a group;
 a null id never names a group unless all its members' are null; ids that occur twice are told apart by
-their sets; an empty table gives an empty result.
+their sets; an empty table gives an empty result; extra columns are not read. The pipeline stage tells
+rows by id and text, so rows that share an id are judged apart, null ids too, and of repeated rows one stays.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy, written
+from .common import free_name, small_batches, tidy, written
 from .graph import components
 from .rolling import LOWER, Prefix, U, mix, text_chunks
 
@@ -322,8 +323,20 @@ def op9_minhash_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, percent: int = 80) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the row of the smallest id stays (five words, 0.8)."""
+    """Pipeline stage: of each group of near-duplicates the row of the smallest id stays (five words, 0.8).
+
+    Rows without words all stay. Of rows with the same id and text, one whose JSON is least stays.
+    """
     small_batches(spark)
-    groups = near_duplicates(docs, percent=percent)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row = free_name(docs.columns, "_row")
+    id_ = F.col("doc_id")
+    rows = docs.withColumn(row, F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64("text").alias("h")))
+    groups = written(near_duplicates(rows, id_col=row, percent=percent), "minhash-rows")
+    gone = groups.where(~F.col("kept")).select(row).distinct()
+    again = groups.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy(row).agg(F.count("*").alias("c")).where("c > 1").select(row)
+    if again.isEmpty():
+        return rows.join(gone, row, "left_anti").select(*docs.columns)
+    single = rows.join(gone.unionByName(again), row, "left_anti").select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    one = rows.join(again, row, "left_semi").groupBy(row).agg(F.min_by(whole, F.to_json(whole)).alias(row + "_one"))
+    return single.unionByName(one.select(row + "_one.*"))
