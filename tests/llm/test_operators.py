@@ -270,6 +270,21 @@ def test_mix(spark, docs, odd, empty):
     assert cube_mix.with_copies(empty).count() == 0 and cube_mix.stage(spark, odd, DATA).columns == odd.columns
 
 
+def test_mix_lands_each_source_by_itself(spark):
+    """Sources of one, few and many blocks side by side each come to their target."""
+    rnd = np.random.default_rng(4)
+    rows = [(f"{s}{i}", s, int(x)) for s, n in (("a", 150), ("b", 700), ("c", 8000), ("d", 180)) for i, x in enumerate(rnd.lognormal(5, 1, n) + 1)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, n long")
+    out = cube_mix.with_copies(df, size_col="n", block=200).groupBy("source").agg(F.first("target").alias("goal"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.count("*").alias("c")).collect()
+    assert {r.source: r.c for r in out} == {"a": 150, "b": 700, "c": 8000, "d": 180}
+    assert all(abs(r.taken - r.goal) <= 2 for r in out), out
+    for block in (1, 2, 20, 4096):
+        b = 1000
+        while b > 1:
+            b, was = cube_mix.fewer_blocks(b, block), b
+            assert 1 <= b < was
+
+
 def test_pipeline_stages_follow_each_other(spark, docs):
     import corpus_pipeline
 

@@ -6,13 +6,15 @@ cube method turns these into 0 or 1 while each source's sums over documents of p
 probability times words stay what they were: three open documents have a direction in which both
 sums stand still, the null space of the constraints; moving along it until one probability
 becomes 0 or 1 settles that document, and the next takes its place (flight). At the end at most two
-stay open, and those and a source's ``LAND`` longest are settled so that the words come nearest to
-the target (landing, by trying all ways).
+stay open, and those and ``LAND`` documents of a source held back for it are settled so that the words
+come nearest to the target (landing, by trying all ways).
 
 Sources are dealt into blocks of about ``BLOCK`` documents by a hash of the id, so a source with a third
-of all rows is many blocks; a block streams through with a few open documents in memory. What blocks
-leave open (two each at most) is dealt into blocks again until a source has one, which lands.
-Short documents come first: the landing tries all ways to take the longest, whose many sums come very near.
+of all rows is many blocks; a block streams through with a few open documents in memory. Short documents
+come first, and ``LAND`` of a block do not fly: the longest of each power of two in size, and the longest of
+all where these are fewer, so that their sums lie close over a wide range whether many or few are to be
+taken. What a source's blocks leave open (``LAND`` + 2 each at most) is dealt into fewer blocks until the
+source has one, which lands: each source by itself, whatever the sizes of the others.
 
 The driver gets one row for each source. Results depend on the rows alone, not on how they are dealt.
 
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from .common import free_name, small_batches, tidy, written
 
 BLOCK = 4096
-LAND = 12  # documents that wait for the landing, beside the two that the flight leaves
+LAND = 14  # documents that wait for the landing, beside the two that the flight leaves
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
 
@@ -65,7 +67,8 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3)
 class Flight:
     """The cube's flight for one block: at most three documents are open at a time.
 
-    The last ``hold`` documents do not fly but wait for the landing.
+    ``hold`` documents do not fly but wait for the landing: of documents that come by rising size, the
+    last of each power of two, and the last of all where these are fewer.
     """
 
     def __init__(self, seed: str, hold: int = 0):
@@ -109,7 +112,10 @@ class Flight:
         settled: list = []
         self.queue.append([probability, size, handle])
         if len(self.queue) > self.hold:
-            self.open.append(self.queue.popleft())
+            powers = [max(1, x[1]).bit_length() for x in self.queue]
+            i = next((i for i in range(self.hold) if powers[i] == powers[i + 1]), 0)
+            self.open.append(self.queue[i])
+            del self.queue[i]
         while len(self.open) >= 3:
             self._step(settled)
         return settled
@@ -132,13 +138,21 @@ class Flight:
         return [(u[2], int(v)) for u, v in zip(left, take[best], strict=True)]
 
 
-def _fly(rows: DataFrame, block: str, size: str, prob: str, copies: str, level: int, last: bool) -> DataFrame:
-    """Rows with ``prob`` moved: settled ones have ``copies`` raised by 0 or 1 and a null ``prob``."""
+def fewer_blocks(b: int, block: int) -> int:
+    """Blocks for what a source's ``b`` blocks leave open: half at most, so that one is reached."""
+    return max(1, min(b // 2, -(-(LAND + 2) * b // block)))
+
+
+def _fly(rows: DataFrame, block: str, size: str, prob: str, copies: str, blocks_col: str, level: int) -> DataFrame:
+    """Rows with ``prob`` moved: settled ones have ``copies`` raised by 0 or 1 and a null ``prob``.
+
+    A source whose ``blocks_col`` is 1 lands, so all its rows are settled.
+    """
     names, schema = rows.columns, rows.schema
-    ib, is_, ip, ic = (names.index(x) for x in (block, size, prob, copies))
+    ib, is_, ip, ic, in_ = (names.index(x) for x in (block, size, prob, copies, blocks_col))
 
     def run(batches):
-        flight, key, kept = None, None, {}  # kept: open documents' rows
+        flight, key, last, kept = None, None, False, {}  # kept: open documents' rows
 
         def row_of(table, prob_value, add):
             cols = list(table.columns)
@@ -156,7 +170,7 @@ def _fly(rows: DataFrame, block: str, size: str, prob: str, copies: str, level:
 
         number = 0
         for b in batches:
-            blocks, sizes, probs = (b.column(i).to_pylist() for i in (ib, is_, ip))
+            blocks, sizes, probs, counts = (b.column(i).to_pylist() for i in (ib, is_, ip, in_))
             add = np.zeros(b.num_rows, np.int64)
             here, late = {}, []
             for i, (k, s, p) in enumerate(zip(blocks, sizes, probs, strict=True)):
@@ -174,7 +188,7 @@ def _fly(rows: DataFrame, block: str, size: str, prob: str, copies: str, level:
                             late.append(row_of(row, v, 0))
                             if h in here:
                                 add[here.pop(h)] = -1
-                    flight, key = Flight(f"{level}|{k}", LAND if last else 0), k
+                    flight, key, last = Flight(f"{level}|{k}", LAND), k, counts[i] == 1
                 number += 1
                 here[number] = i
                 for h, v in flight.add(p, s, number):
@@ -221,7 +235,7 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     # One row for each source; the join is broadcast only where Spark finds the table small.
     rows = sized.join(about, F.col(source_col).eqNullSafe(F.col(src_col)))
     salt = F.xxhash64(F.col(id_col), F.col(size), F.lit(17))
-    rows = rows.withColumn(blk, F.to_json(F.struct(F.col(src_col).alias("s"), F.pmod(salt, F.col(blocks_col)).alias("b")))).withColumn(order, salt).drop(src_col, blocks_col)
+    rows = rows.withColumn(blk, F.to_json(F.struct(F.col(src_col).alias("s"), F.pmod(salt, F.col(blocks_col)).alias("b")))).withColumn(order, salt).drop(src_col)
 
     result = rows.where(F.col(prob) == 0)
     open_ = rows.where(F.col(prob) > 0)
@@ -229,16 +243,18 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     while True:
         last = n_blocks == 1
         dealt = open_.repartition(blk).sortWithinPartitions(F.col(blk), F.col(size), order, id_col)
-        moved = _fly(dealt, blk, size, prob, copies, level, last)
+        moved = _fly(dealt, blk, size, prob, copies, blocks_col, level)
         if last:
             result = result.unionByName(moved)
             break
         moved = written(moved, "cube")
         result = result.unionByName(moved.where(F.col(prob).isNull()))
-        n_blocks, level = max(1, -(-2 * n_blocks // block)), level + 1
-        src = F.get_json_object(blk, "$.s")
-        open_ = moved.where(F.col(prob).isNotNull()).withColumn(blk, F.to_json(F.struct(src.alias("s"), F.pmod(F.xxhash64(F.col(order), F.lit(level)), F.lit(n_blocks)).alias("b"))))
-    return result.drop(blk, prob, order)
+        n_blocks, level = fewer_blocks(n_blocks, block), level + 1
+        src, b = F.get_json_object(blk, "$.s"), F.col(blocks_col)
+        fewer = F.greatest(F.lit(1), F.least(F.floor(b / 2), F.ceil(b * (LAND + 2) / block))).cast("long")
+        open_ = moved.where(F.col(prob).isNotNull()).withColumn(blocks_col, fewer)
+        open_ = open_.withColumn(blk, F.to_json(F.struct(src.alias("s"), F.pmod(F.xxhash64(F.col(order), F.lit(level)), b).alias("b"))))
+    return result.drop(blk, prob, order, blocks_col)
 
 
 def op10_cube_mix(spark, sf_dir: str) -> DataFrame:
