@@ -257,6 +257,17 @@ def test_near_duplicates_against_brute_force(spark, odd, empty):
     assert minhash_join.near_duplicates(empty).count() == 0
 
 
+def test_candidates_need_collisions(spark):
+    """Of pairs with equal sets, the one whose signatures collide below the threshold is left out."""
+    least = minhash_join.threshold_matches(0.85)
+    sig = np.arange(minhash_join.M, dtype=np.uint32)
+    other = [np.where(sig < k, sig, sig + 1000).astype(np.uint32) for k in (least, least - 1)]
+    one = np.arange(9, dtype=np.uint64).tobytes()
+    nodes = spark.createDataFrame([(i, bytearray(x.tobytes()), bytearray(one)) for i, x in enumerate((sig, *other))], "nid long, sig binary, elements binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    assert [tuple(r) for r in minhash_join._confirm(pairs, nodes, 85).collect()] == [(0, 1)]
+
+
 def test_sketch_bounds_the_difference():
     rnd = np.random.default_rng(5)
     for n in (5, 100, 900):

@@ -12,7 +12,7 @@
 4. Inside a posting list, split into pairs of blocks where it is long, a parity sketch of the sets gives
    a lower bound of each pair's symmetric difference; what passes is a candidate. Round 1 takes a
    minimum spanning forest of the candidates, round 2 all candidates whose ends are still apart.
-5. Candidates are confirmed on full sets; components of the confirmed links name the groups.
+5. Of candidates, those whose signatures collide in ``T`` or more coordinates are kept and confirmed on full sets; components of the confirmed links name the groups.
 
 Nothing is capped: long lists become more blocks, and equal lists are looked at once. Sizes that go to
 the driver are counts.
@@ -259,15 +259,24 @@ def _candidates(lists: DataFrame, nodes: DataFrame, percent: int, forest: bool)
     return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
+def collisions(a: bytes, b: bytes) -> int:
+    """Coordinates in which two signatures are equal."""
+    return int((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).sum())
+
+
 def _confirm(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
-    sets = nodes.select("nid", "elements")
-    both = pairs.join(sets.withColumnsRenamed({"nid": "a", "elements": "ea"}), "a").join(sets.withColumnsRenamed({"nid": "b", "elements": "eb"}), "b")
+    """The pairs that collide often enough and whose full sets reach the similarity."""
+    least = threshold_matches(percent / 100)
+    sets = nodes.select("nid", "elements", "sig")
+    both = pairs.join(sets.withColumnsRenamed({"nid": "a", "elements": "ea", "sig": "sa"}), "a").join(sets.withColumnsRenamed({"nid": "b", "elements": "eb", "sig": "sb"}), "b")
 
     def run(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y, sx, sy in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                if collisions(sx, sy) < least:
+                    good.append(False)
+                    continue
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.concatenate([p, q])
                 both.sort(kind="stable")
@@ -275,7 +284,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * inter >= percent * (len(p) + len(q) - inter))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "ea", "eb").mapInArrow(tidy(run), "a long, b long")
+    return both.select("a", "b", "ea", "eb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
