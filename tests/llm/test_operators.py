@@ -268,6 +268,20 @@ def test_candidates_need_collisions(spark):
     assert [tuple(r) for r in minhash_join._confirm(pairs, nodes, 85).collect()] == [(0, 1)]
 
 
+def test_near_duplicates_at_low_thresholds(spark):
+    """Pairs just above the threshold, without other partners, are found whatever the threshold."""
+    assert [minhash_join.screen_least(p / 100) for p in (80, 85)] == [minhash_join.SCREEN_LEAST] * 2
+    for percent, own in ((50, 20), (30, 50)):
+        rows = []
+        for i in range(40):
+            same = [f"s{i}_{j}" for j in range(50)]
+            rows += [(2 * i + k, " ".join(same + [f"o{i}_{k}_{j}" for j in range(own)])) for k in (0, 1)]
+        got = minhash_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+        assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(80)}
+    with pytest.raises(ValueError):
+        minhash_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=5)
+
+
 def test_sketch_bounds_the_difference():
     rnd = np.random.default_rng(5)
     for n in (5, 100, 900):

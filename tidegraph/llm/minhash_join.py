@@ -2,8 +2,9 @@
 
 1. Every text's set of word shingles gets a size, a 128-bit key and a short signature. Texts with equal
    sets are one class; all later work is on classes.
-2. A class of which fewer than ``SCREEN_LEAST`` of ``SCREEN`` signature coordinates occur elsewhere has
-   no partner (chance of error below 1e-8 at similarity 0.85, 1e-5 at 0.8) and is done.
+2. A class of which fewer than ``screen_least`` of ``SCREEN`` signature coordinates occur elsewhere has
+   no partner (chance of error below 1e-5 at any threshold, below 1e-8 at 0.85) and is done. At thresholds
+   too low for such a count no class is screened; below 7 % the join itself is not safe and is refused.
 3. The rest get ``M`` coordinates and are posted under coordinate-value pairs. Two sets at the threshold
    collide in at least ``T`` of ``M`` coordinates (error below 1e-7 a pair), so with the values in order
    of rising frequency they meet under one of each one's first ``M - T + 1`` (the prefix); a frequent
@@ -25,6 +26,8 @@ rows by id and text, so rows that share an id are judged apart, null ids too, an
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -50,6 +53,15 @@ def threshold_matches(similarity: float, m: int = M, sigmas: float = 5.5) -> int
     return max(1, int(similarity * m - sigmas * (m * similarity * (1 - similarity)) ** 0.5))
 
 
+def screen_least(similarity: float, error: float = 1e-5) -> int:
+    """Coordinates of SCREEN, SCREEN_LEAST at most, that a set with a partner at ``similarity`` shares but for a chance of ``error``."""
+    least, below = 0, (1 - similarity) ** SCREEN
+    while least < SCREEN_LEAST and below <= error:
+        least += 1
+        below += comb(SCREEN, least) * similarity**least * (1 - similarity) ** (SCREEN - least)
+    return least
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all texts end to end, their offsets).
 
@@ -289,13 +301,17 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``."""
+    if not 7 <= percent <= 100:
+        raise ValueError("percent must be from 7 to 100: below, pairs at the threshold may collide nowhere")
     about = written(_describe(docs, id_col, text_col, width), "minhash-docs")
     classes = written(about.where("key is not null").groupBy("key").agg(F.min(id_col).alias("rep"), F.first("sig").alias("sig")), "minhash-classes")
-    # classes go by 64 bits here: two of equal bits would only let both through
-    short = _tokens(classes.select(F.xxhash64("key").alias("k"), "sig"), SCREEN, "k", "long")
-    shared = short.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    near = short.join(shared, "token", "left_semi").groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= SCREEN_LEAST)
-    wanted = classes.select("key", "rep", F.xxhash64("key").alias("k")).join(near, "k").select("key", "rep")
+    wanted, least = classes.select("key", "rep"), screen_least(percent / 100)
+    if least:
+        # classes go by 64 bits here: two of equal bits would only let both through
+        short = _tokens(classes.select(F.xxhash64("key").alias("k"), "sig"), SCREEN, "k", "long")
+        shared = short.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+        near = short.join(shared, "token", "left_semi").groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+        wanted = classes.select("key", "rep", F.xxhash64("key").alias("k")).join(near, "k").select("key", "rep")
     nodes = written(_nodes(docs, wanted, id_col, text_col, width), "minhash-nodes")
 
     matches = threshold_matches(percent / 100)
