@@ -9,7 +9,8 @@ slices any sequence or document without copying or decoding.
 A shard is written under a temporary name and renamed, so a task that is run again replaces it whole.
 Memory is one Arrow batch of texts and ``per_batch`` sequences.
 
-Defined results: null text gives the end id alone; null ids come first; rows that share an id stand in
+Defined results: strings of special tokens inside a text give those tokens, as the library's plain call does
+(``specials_as_text`` makes them ordinary text); null text gives the end id alone; null ids come first; rows that share an id stand in
 order of a hash of their text; an empty table gives shards without sequences and an empty index.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +28,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import filesystem, local_path, shared_dir, tidy, written
+from .rolling import text_chunks
 from .units import Units
 
-_known: dict[str, Units] = {}
+_known: dict[tuple[str, bool], Units] = {}
 
 
-def units_of(path: str) -> Units:
-    """The worker's encoder of a tokenizers file; strings of special tokens are ordinary text."""
-    if path not in _known:
+def units_of(path: str, specials_as_text: bool = False) -> Units:
+    """The worker's encoder of a tokenizers file: strings of special tokens give their ids, as the library
+    does by itself, or are ordinary text."""
+    key = (path, specials_as_text)
+    if key not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would spin
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _known[path] = Units(lambda xs: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)], limit=600_000)
-    return _known[path]
+        t.encode_special_tokens = specials_as_text
+        added = [x.content.encode() for x in t.get_added_tokens_decoder().values() if not (specials_as_text and x.special)]
+
+        def many(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids = [e.ids for e in t.encode_batch_fast([u.decode("utf-8", "surrogatepass") for u in units], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+        _known[key] = Units(many, whole=tuple(added))
+    return _known[key]
 
 
 def shard_schema(length: int, kind: type) -> pa.Schema:
@@ -68,10 +78,10 @@ class ShardWriter:
         self.out = self.where.open_output_stream(self.part)
         self.file = pa.ipc.new_file(self.out, self.file_schema)
 
-    def add(self, raw: bytes) -> None:
-        self.held.append(np.frombuffer(raw, np.uint32).astype(self.kind))
-        self.n_held += len(raw) // 4
-        self.total += len(raw) // 4
+    def add(self, ids: np.ndarray) -> None:
+        self.held.append(ids.astype(self.kind))
+        self.n_held += len(ids)
+        self.total += len(ids)
         if self.n_held >= self.size:
             whole = np.concatenate(self.held)
             at = 0
@@ -130,44 +140,36 @@ class ShardReader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, self.values.dtype if self.values is not None else np.uint32)
 
 
-def merged(batches, rows: int = 4000):
-    """Arrow batches put together up to about ``rows`` rows: a unit is looked up once for each."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def shard_uri(folder: str, k: int) -> str:
     return f"{folder}/shard-{k:06d}.arrow"
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = 2048, per_batch: int = 64, shards: int | None = None) -> DataFrame:
-    """Writes the shards into ``folder`` (a URI all executors see); returns the index as a written table."""
+def shards_of(docs: DataFrame, text_col: str, shard_bytes: int) -> int:
+    """Files of about ``shard_bytes`` of text each, one at least."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, -(-size // shard_bytes))
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = 2048, per_batch: int = 64, shards: int | None = None, shard_bytes: int = 1 << 28, specials_as_text: bool = False) -> DataFrame:
+    """Writes the shards into ``folder`` (a URI all executors see); returns the index as a written table.
+
+    Without ``shards`` there is one for each ``shard_bytes`` of text, or one for each shuffle partition if that is more.
+    """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end, kind = np.array([end_id], np.uint32).tobytes(), id_type(tokenizer)
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards_of(docs, text_col, shard_bytes))
+    kind = id_type(tokenizer)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("shard", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
         k = TaskContext.get().partitionId()
         out = ShardWriter(shard_uri(folder, k), length, per_batch, kind)
-        for b in merged(batches):
-            starts, sizes = [], []
-            encoder = units_of(tokenizer)
-            texts = b.column(1)
-            for i in range(0, b.num_rows, 4000):
-                for raw in encoder.encode([t or "" for t in texts.slice(i, 4000).to_pylist()]):
-                    raw += end
-                    starts.append(out.total)
-                    sizes.append(len(raw) // 4)
-                    out.add(raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k] * b.num_rows, pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=schema.fieldNames())
+        encoder = units_of(tokenizer, specials_as_text)
+        for b in batches:
+            for row, data, offsets in text_chunks(b.column(1), 1 << 22):
+                flat, at = encoder.encode(data, offsets, end=end_id)
+                starts, sizes = out.total + at[:-1], np.diff(at)
+                out.add(flat)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(sizes)), pa.array([k] * len(sizes), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=schema.fieldNames())
         out.close()
 
     ranged = docs.select(id_col, F.col(text_col).alias("_text")).repartitionByRange(shards, id_col, F.xxhash64("_text")).sortWithinPartitions(id_col, F.xxhash64("_text"))
