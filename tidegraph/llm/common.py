@@ -22,24 +22,46 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the cluster names none is a local folder made, for tests on one machine.
+    Where it is unset, a folder of this machine serves a local master (as in tests); on a cluster, whose
+    executors could not see that, it is an error.
     """
     global _own_dir
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="tidegraph-")
             atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
         top = f"file://{_own_dir}"
-        spark.conf.set("spark.tidegraph.own.dir", top)
     return f"{top.rstrip('/')}/tidegraph/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a query that has ended, not only when its plan is collected as garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, was = shared_dir(spark, name), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was) if was is not None else spark.conf.unset(_CLEAN)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables made by ``written`` that no later step reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_path(uri: str) -> str | None:
@@ -57,16 +79,6 @@ def filesystem(uri: str):
     return (fs.LocalFileSystem(), local) if local else fs.FileSystem.from_uri(uri)
 
 
-def put_file(uri: str, write) -> None:
-    """``write(stream)`` to a temporary name, then rename: a retried task leaves one whole file."""
-    where, path = filesystem(uri)
-    where.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{os.getpid()}-{uuid.uuid4().hex[:8]}.tmp"
-    with where.open_output_stream(part) as out:
-        write(out)
-    where.move(part, path)
-
-
 def arrow_type(t: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

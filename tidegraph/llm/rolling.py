@@ -1,7 +1,8 @@
 """64-bit polynomial fingerprints of byte ranges, for whole batches of texts at once (numpy).
 
 A prefix sum of ``table[byte] * B**position`` (modulo 2**64, B odd and so invertible) gives the
-fingerprint of any range by one subtraction and one multiplication.
+fingerprint of any range by one subtraction and one multiplication. Two bases and two tables
+give two independent halves where 128 bits are wanted.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ _rng = np.random.default_rng(20240229)
 TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 LOWER = TABLE.copy()
 LOWER[65:91] = LOWER[97:123]
-BASE = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASE, BASE_2 = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
+TABLE_2 = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 _powers = {}
 
@@ -45,11 +46,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Prefix:
     """Fingerprints of ranges of ``data`` (uint8)."""
 
-    def __init__(self, data: np.ndarray, table: np.ndarray = TABLE):
+    def __init__(self, data: np.ndarray, table: np.ndarray = TABLE, base: np.uint64 = BASE):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data] * powers(BASE, n), out=self.sums[1:])
-        self.inverse = powers(INVERSE, n + 1)
+        np.cumsum(table[data] * powers(base, n), out=self.sums[1:])
+        self.inverse = powers(U(pow(int(base), -1, 1 << 64)), n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]

@@ -6,40 +6,44 @@ removed. Sorting every suffix of a corpus would shuffle each byte ``length`` tim
 1. Anchors. Of the ``length - ANCHOR + 1`` substrings of ``ANCHOR`` bytes in a string, the one with the
    least fingerprint (the leftmost of equals) is its anchor. Equal strings have equal anchors at equal
    offsets, and consecutive strings mostly share one, so about one suffix in seventy, the one at the
-   anchor, stands for all. Each has a leading token (fingerprint of the anchor) and a fingerprint of
-   the whole text that its strings span.
-2. A leading token that occurs once has no repeat. Where all suffixes with a token span the same text,
-   all are repeats. These are counts by key, combined before they are shuffled.
-3. Only the rest, where contexts differ, is sorted: sampled splitters range-partition these suffixes by
-   leading token; each partition sorts the strings of its suffixes by multikey quicksort over their
-   tokens (three-way: only runs of equals go on to the next token) and flags equal neighbours. All
-   suffixes of a leading token are in one partition, so the strings on both sides of a boundary
-   differ in it. A leading token with more than ``HOT`` suffixes is not gathered: its strings become
-   rows and are counted by fingerprint.
-4. Spans are merged and cut from each document.
-
-Fingerprints are 128 bits where equality decides. Defined results: null and empty texts have no bytes;
-strings never cross documents; repeated rows are repeats of each other; rows that share an id are told
-apart by their text; an empty table gives an empty result.
+   anchor, stands for all. Its leading token is the fingerprint of the anchor, its context what its
+   strings span.
+2. First sort, all suffixes: sampled splitters range-partition them by leading token, context and place,
+   so a frequent token is many buckets. Each bucket sorts by multikey quicksort and compares neighbours:
+   suffixes of equal context are repeats of each other, a token that occurs once has none. One suffix of
+   each context of the other tokens goes on; a token at the edge of a bucket, which may go on in the
+   next, always does.
+3. Second sort, of those, by text: the same splitters by leading token and place. Each bucket sorts the texts
+   right of the anchors and the reversed texts left of them by multikey quicksort over tokens of eight
+   bytes. Two strings with the anchor at offset d are equal if their neighbours in between have ``length - d``
+   bytes in common in the one order and d in the other, which the bytes decide.
+4. Across boundaries: a bucket passes on one of each of the different strings of the tokens at its edges. These
+   are range-partitioned by fingerprint and neighbours from different buckets compared.
+5. Spans are merged and cut from each document.
+
+Step 2 compares contexts and step 4 strings by 128-bit fingerprints (two bases). A bucket is read in pieces
+between leading tokens; a token that fills a piece is cut there, as at a boundary, so memory is bounded
+whatever the key. Rows go by a 128-bit hash of id and text.
+
+Defined results: null and empty texts have no bytes; strings never cross documents; repeated rows are repeats
+of each other; rows that share an id are told apart by their text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, written
-from .rolling import TABLE, Prefix, U, mix, text_chunks
+from .common import forget, tidy, written
+from .rolling import BASE_2, TABLE_2, Prefix, U, mix, text_chunks
 
 ANCHOR = 64
-HOT = 50_000
-_STEP = 40  # bytes of a token of a string in the sort
 _POS = 20  # low bits of a minimum's key that hold its place
-_OTHER = TABLE[np.random.default_rng(5).permutation(256)] ^ U(0x0F1E2D3C4B5A6978)
+KEY = "k1 long, k2 long"
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -53,12 +57,12 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = 200):
-    """(text, anchor, first string, number of strings, leading token, context fingerprint), arrays.
+    """(text, anchor, first string, number of strings, leading token, two halves of the context's fingerprint).
 
     Places are in ``data``. Each row stands for a run of consecutive strings with one anchor.
     """
     strings = len(data) - length + 1
-    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 3
     if strings <= 0:
         return none
     prefix = Prefix(data)
@@ -83,159 +87,261 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = 200):
     anchor = best[first]
     lead = finger[anchor] ^ U(0x2545F4914F6CDD1D)
     shape = ((anchor - first).astype(np.uint64) << U(32)) + n.astype(np.uint64)
-    context = mix(Prefix(data, _OTHER).of(first, first + n + length - 1) ^ mix(shape))
-    return text[first], anchor, first, n, lead, context
+    c1, c2 = (mix(p.of(first, first + n + length - 1) ^ mix(shape)) for p in (prefix, Prefix(data, TABLE_2, BASE_2)))
+    return text[first], anchor, first, n, lead, c1, c2
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each row's id and text with a 128-bit hash of both."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    digest = F.sha2(text.cast("binary"), 256)
+    return docs.select(F.col(id_col).alias("_i"), text.alias("_t"), F.xxhash64(digest, F.col(id_col)).alias("k1"), F.xxhash64(F.lit(1), digest, F.col(id_col)).alias("k2"))
 
 
 def _anchor_rows(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    names = [id_col, "crc", "lead", "context", "at", "lo", "n"]
+    names = ["k1", "k2", "lead", "c1", "c2", "at", "lo", "n"]
 
     def run(batches):
         for b in batches:
-            for row, data, offsets in text_chunks(b.column(1)):
-                text, anchor, first, n, lead, context = anchors(data, offsets, length)
+            for row, data, offsets in text_chunks(b.column(0)):
+                text, anchor, first, n, *prints = anchors(data, offsets, length)
                 start = offsets[:-1][text]
                 pick = pa.array(row + text)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(2).take(pick), pa.array(lead.view(np.int64)), pa.array(context.view(np.int64)), pa.array((anchor - start).astype(np.int32)), pa.array((first - start).astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pick), b.column(2).take(pick), *(pa.array(x.view(np.int64)) for x in prints), *(pa.array(x.astype(np.int32)) for x in (anchor - start, first - start, n))], names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = _keyed(docs, id_col, text_col).where(F.octet_length("_t") >= length)
-    return rows.select("_i", "_t", "_crc").mapInArrow(tidy(run), f"{id_col} {kind}, crc int, lead long, context long, at int, lo int, n int")
+    return rows.select("_t", "k1", "k2").mapInArrow(tidy(run), f"{KEY}, lead long, c1 long, c2 long, at int, lo int, n int")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("_i"), text.alias("_t"), F.hash(text).alias("_crc"))
+def multikey_quicksort(tokens: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Order of rows of ``tokens`` (rows x depth, uint64) by ``run``, then token by token.
 
+    The three-way quicksort of strings, one step for all open runs at a time: each run takes the median of
+    three of its tokens at its depth as pivot and falls apart into less, equal and greater; equals go on
+    at the next token, runs of one row are done.
+    """
+    order = np.argsort(run, kind="stable")
+    group = run[order]
+    place = np.arange(len(order))
+    depth = np.zeros(len(order), np.int64)
+    while True:
+        first = np.ones(len(place), bool)
+        first[1:] = group[1:] != group[:-1]
+        alone = first & np.append(first[1:], True)
+        open_ = ~alone & (depth < tokens.shape[1])
+        if not open_.any():
+            return order
+        place, group, depth = place[open_], group[open_], depth[open_]
+        start = np.flatnonzero(first[open_])
+        size = np.diff(np.append(start, len(place)))
+        rows = order[place]
+        value = tokens[rows, depth]
+        a, b, c = value[start], value[start + size // 2], value[start + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        side = (value >= pivot).astype(np.int64) + (value > pivot)
+        group = np.repeat(np.arange(len(start)), size) * 3 + side
+        by = np.argsort(group, kind="stable")
+        order[place] = rows[by]
+        group, depth = group[by], (depth + (side == 1))[by]
+
+
+def common_bytes(tokens: np.ndarray, order: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Bytes that each row has in common with the one before it in ``order``; -1 at the start of a run."""
+    out = np.full(len(order), -1, np.int64)
+    at = np.flatnonzero(run[order[1:]] == run[order[:-1]]) + 1
+    out[at] = 0
+    for k in range(tokens.shape[1]):
+        x = tokens[order[at], k] ^ tokens[order[at - 1], k]
+        out[at] += sum((x < U(1 << 8 * j)).astype(np.int64) for j in range(8))
+        at = at[x == 0]
+        if not len(at):
+            break
+    return out
 
-def equal_rows(columns: list[np.ndarray]) -> np.ndarray:
-    """True where a row equals another in all columns.
 
-    Multikey quicksort, level by level: rows are sorted by a column inside runs that were equal so
-    far; runs of one row are done, runs of equals go on to the next column.
+def _pieces(batches, lead: int, weight, most: int):
+    """Tables of about ``most`` (sum of ``weight`` of a batch) of rows that are sorted by column ``lead``.
+
+    Yields (table, whether its first token may have begun before, whether its last may go on after).
     """
-    out = np.zeros(len(columns[0]), bool)
-    rows = np.arange(len(out))
-    run = np.zeros(len(out), np.int64)
-    for c in columns:
-        if not len(rows):
-            return out
-        value = c[rows]
-        order = np.lexsort((value, run))
-        rows, run, value = rows[order], run[order], value[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (value[1:] != value[:-1]) | (run[1:] != run[:-1])
-        last = np.append(new[1:], True)
-        more = ~(new & last)
-        run = np.cumsum(new)[more]
-        rows = rows[more]
-    out[rows] = True
-    return out
+    held, have, before = [], 0, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        have += weight(b)
+        if have < most:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        tokens = table.column(lead).to_numpy()
+        cut = int(np.searchsorted(tokens, tokens[-1]))  # the last token may go on
+        if cut:
+            yield table.slice(0, cut), before, False
+            before, held = False, table.slice(cut).combine_chunks().to_batches()
+            have = sum(map(weight, held))
+        else:
+            yield table, True, True
+            before, held, have = True, [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), before, True
 
 
-def _strings(lead, at, lo, n, contexts, length: int):
-    """For all strings of some suffixes: index of the suffix, place in it, and their key columns."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
+def _runs(lead: np.ndarray) -> np.ndarray:
+    new = np.ones(len(lead), np.int64)
+    new[1:] = lead[1:] != lead[:-1]
+    return np.cumsum(new) - 1
+
+
+def _first_sort(found: DataFrame, most: int) -> DataFrame:
+    """Of suffixes with a repeat and of those to be sorted by text: place, ``done`` (is a repeat), ``on`` (goes on)."""
+    ranged = found.repartitionByRange("lead", "c1", "c2", F.xxhash64("k1", "at")).sortWithinPartitions("lead")
+
+    def run(batches):
+        for table, before, after in _pieces(batches, 2, lambda b: b.num_rows, most):
+            tokens = np.column_stack([table.column(i).to_numpy().view(np.uint64) for i in (3, 4)])
+            lead = _runs(table.column(2).to_numpy())
+            order = multikey_quicksort(tokens, lead)
+            tokens, lead = tokens[order], lead[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (lead[1:] != lead[:-1]) | (tokens[1:] != tokens[:-1]).any(axis=1)
+            many = ~(new & np.append(new[1:], True))
+            contexts = np.bincount(lead, new)
+            contexts[0] += before
+            contexts[-1] += after
+            on = new & (contexts[lead] > 1)
+            keep = many | on
+            pick = table.take(pa.array(order[keep]))
+            token = pa.array(pick.column(2).to_numpy(), mask=~on[keep])
+            yield pa.RecordBatch.from_arrays([*(pick.column(i).combine_chunks() for i in (0, 1)), token, *(pick.column(i).combine_chunks() for i in (5, 6, 7)), pa.array(many[keep]), pa.array(on[keep])], names=["k1", "k2", "lead", "at", "lo", "n", "done", "on"])
+
+    return ranged.mapInArrow(tidy(run), f"{KEY}, lead long, at int, lo int, n int, done boolean, on boolean")
+
+
+def _texts(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Tokens of eight bytes of the texts from ``start``, forward (step 1) or backward (-1), zeros after ``size``."""
+    wide = -(-width // 8) * 8
+    at = np.arange(wide)
+    where = start[:, None] + step * at
+    inside = at < size[:, None]
+    return np.where(inside, data[np.where(inside, where, 0)], 0).astype(np.uint8).view(">u8").astype(np.uint64)
+
+
+def repeats_by_text(lead, at, lo, n, contexts: list[bytes], length: int):
+    """For each anchor offset d and class of equal strings: yields (d, rows in class order, class starts).
+
+    Rows are numbers of suffixes; those in ``lead`` of equal value are adjacent.
+    """
     sizes = np.array([len(c) for c in contexts], np.int64)
-    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    owner = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    start = base[owner] + place
-    offset = (at - lo)[owner] - place  # of the anchor in the string
-    leading = mix(lead.view(np.uint64)[owner] + offset.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-    p, q = Prefix(data), Prefix(data, _OTHER)
-    steps = list(range(0, length, _STEP))
-    tokens = [mix(p.of(start + s, start + min(s + _STEP, length))) ^ q.of(start + s, start + min(s + _STEP, length)) * U(0xD6E8FEB86659FD93) for s in steps]
-    return owner, place, [leading, *tokens]
-
-
-def _sorted_repeats(suffixes: DataFrame, id_col: str, length: int) -> DataFrame:
-    """Spans (id, crc, lo, hi) of repeated strings among ``suffixes``, by the sort in each range."""
-    kind = suffixes.schema[id_col].dataType.simpleString()
-    ranged = suffixes.repartitionByRange("lead").sortWithinPartitions("lead")
-    ranged = ranged.select("lead", "at", "lo", "n", "done", "ctx", id_col, "crc")
-
-    def close(table: pa.Table):
-        lead, at, lo, n = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
-        owner, place, keys = _strings(lead, at, lo, n, table.column(5).to_pylist(), length)
-        again = equal_rows(keys) & ~table.column(4).to_numpy(zero_copy_only=False)[owner]
-        hit = np.flatnonzero(again)
-        if not len(hit):
-            return None
-        new = np.ones(len(hit), bool)
-        new[1:] = (owner[hit][1:] != owner[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)
-        s, e = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)]
-        pick = pa.array(owner[s])
-        low, high = (lo[owner[s]] + place[s]).astype(np.int32), (lo[owner[e]] + place[e] + length).astype(np.int32)
-        out = table.select([6, 7]).take(pick).combine_chunks()
-        return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.columns), pa.array(low), pa.array(high)], names=[id_col, "crc", "lo", "hi"])
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    anchor = np.cumsum(sizes) - sizes + at - lo
+    most, least = at - lo, at - lo - n + 1  # offsets of the anchor in its strings
+    run = _runs(lead)
+    right = _texts(data, anchor, length - least, length, 1)
+    left = _texts(data, anchor - 1, most, length - ANCHOR, -1)
+    orders = [multikey_quicksort(t, run) for t in (right, left)]
+    shared = [common_bytes(t, o, run) for t, o in zip((right, left), orders, strict=True)]
+    group = np.empty((2, len(run)), np.int64)
+    for d in range(length - ANCHOR + 1):
+        rows = np.flatnonzero((least <= d) & (d <= most))
+        if not len(rows):
+            continue
+        for g, o, c, need in zip(group, orders, shared, (length - d, d), strict=True):
+            g[o] = np.cumsum(c < need)
+        key = group[0][rows] * (len(run) + 1) + group[1][rows]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        yield d, rows[order], new
+
+
+def _second_sort(suffixes: DataFrame, length: int, most: int) -> DataFrame:
+    """Spans of repeated strings of ``suffixes``, by text; and strings for the comparison across boundaries (f1 not null)."""
+    ranged = suffixes.repartitionByRange("lead", F.xxhash64("k1", "at")).sortWithinPartitions("lead")
+    ranged = ranged.select("k1", "k2", "lead", "at", "lo", "n", "done", "ctx")
+    names = ["k1", "k2", "lo", "hi", "f1", "f2", "done"]
 
     def run(batches):
-        held, strings = [], 0
-        for b in batches:
-            held.append(b)
-            strings += int(b.column(3).to_numpy().sum())
-            if strings < 1_500_000:
+        for table, before, after in _pieces(batches, 2, lambda b: b.nbytes, most):
+            lead, at, lo, n = (table.column(i).to_numpy().astype(np.int64) for i in range(2, 6))
+            done = table.column(6).to_numpy(zero_copy_only=False)
+            contexts = table.column(7).to_pylist()
+            edge = np.zeros(len(lead), bool)  # tokens that may go on in other pieces
+            if before:
+                edge |= lead == lead[0]
+            if after:
+                edge |= lead == lead[-1]
+            hit = np.zeros((len(lead), length - ANCHOR + 3), bool)  # a place's string d is column length - ANCHOR - d + 1
+            passed = []
+            for d, rows, new in repeats_by_text(lead, at, lo, n, contexts, length):
+                again = ~(new & np.append(new[1:], True))
+                hit[rows[again & ~done[rows]], length - ANCHOR - d + 1] = True
+                one = np.flatnonzero(new & edge[rows])
+                if len(one):
+                    passed.append((rows[one], np.full(len(one), d), again[one] | done[rows[one]]))
+            step = np.diff(hit.astype(np.int8), axis=1)
+            (row, s), (_, e) = np.nonzero(step == 1), np.nonzero(step == -1)
+            # column c + 1 is the string that starts length - ANCHOR - c bytes before the anchor
+            low, high = at[row] - (length - ANCHOR) + s, at[row] - (length - ANCHOR) + e - 1 + length
+            pick = table.take(pa.array(row))
+            blank = pa.nulls(len(row), pa.int64())
+            yield pa.RecordBatch.from_arrays([pick.column(0).combine_chunks(), pick.column(1).combine_chunks(), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), blank, blank, pa.array(np.ones(len(row), bool))], names=names)
+            if passed:
+                rows, d, settled = (np.concatenate(x) for x in zip(*passed, strict=True))
+                sizes = np.array([len(c) for c in contexts], np.int64)
+                data = np.frombuffer(b"".join(contexts), np.uint8)
+                start = (np.cumsum(sizes) - sizes + at - lo)[rows] - d
+                f1, f2 = (mix(p.of(start, start + length)) for p in (Prefix(data), Prefix(data, TABLE_2, BASE_2)))
+                low = (at[rows] - d).astype(np.int32)
+                pick = table.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pick.column(0).combine_chunks(), pick.column(1).combine_chunks(), pa.array(low), pa.array(low + np.int32(length)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(settled)], names=names)
+
+    return ranged.mapInArrow(tidy(run), f"{KEY}, lo int, hi int, f1 long, f2 long, done boolean")
+
+
+def _across(strings: DataFrame) -> DataFrame:
+    """Spans of strings that occur in several buckets and are not settled in theirs. A string comes once from a bucket."""
+    ranged = strings.repartitionByRange("f1", "f2").sortWithinPartitions("f1", "f2").select("f1", "f2", "k1", "k2", "lo", "hi", "done")
+
+    def run(batches):
+        rest = None
+        for b in chain(batches, (None,)):
+            held = [x for x in (rest, b) if x is not None and x.num_rows]
+            if not held:
                 continue
             table = pa.Table.from_batches(held)
-            lead = table.column(0).to_numpy()
-            cut = int(np.searchsorted(lead, lead[-1]))  # the last token may go on
-            if cut:
-                if (out := close(table.slice(0, cut))) is not None:
-                    yield out
-                held = table.slice(cut).to_batches()
-                strings = sum(int(x.column(3).to_numpy().sum()) for x in held)
-        if held and (out := close(pa.Table.from_batches(held))) is not None:
-            yield out
+            f1, f2 = table.column(0).to_numpy(), table.column(1).to_numpy()
+            new = np.ones(len(f1), bool)
+            new[1:] = (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])
+            end = len(f1) if b is None else int(np.flatnonzero(new)[-1])  # the last string may go on
+            again = ~(new & np.append(new[1:], True)) & ~table.column(6).to_numpy(zero_copy_only=False)
+            again[end:] = False
+            yield from table.select([2, 3, 4, 5]).filter(pa.array(again)).combine_chunks().to_batches()
+            rest = None if end == len(f1) else table.slice(end).combine_chunks().to_batches()[0]
 
-    return ranged.mapInArrow(tidy(run), f"{id_col} {kind}, crc int, lo int, hi int")
+    return ranged.mapInArrow(tidy(run), f"{KEY}, lo int, hi int")
 
 
-def _counted_repeats(suffixes: DataFrame, id_col: str, length: int) -> DataFrame:
-    """The same for frequent leading tokens: strings as rows, counted by 128-bit fingerprint."""
-    kind = suffixes.schema[id_col].dataType.simpleString()
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, piece_rows: int = 400_000, piece_bytes: int = 6_000_000) -> DataFrame:
+    """(k1, k2, lo, hi): byte ranges covered by strings of ``length`` bytes that start elsewhere too.
 
-    def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                lead, at, lo, n = (part.column(j).to_numpy().astype(np.int64) for j in range(4))
-                owner, place, keys = _strings(lead, at, lo, n, part.column(5).to_pylist(), length)
-                one, two = keys[0].copy(), keys[0] ^ U(0x5851F42D4C957F2D)
-                for k in keys[1:]:
-                    one, two = mix(one * U(3) + k), mix(two * U(5) ^ k)
-                pick = pa.array(owner)
-                start = (lo[owner] + place).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column(4).take(pick), part.column(6).take(pick), part.column(7).take(pick), pa.array(start)], names=["one", "two", "done", id_col, "crc", "lo"])
-
-    rows = suffixes.select("lead", "at", "lo", "n", "done", "ctx", id_col, "crc").mapInArrow(tidy(run), f"one long, two long, done boolean, {id_col} {kind}, crc int, lo int")
-    again = rows.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return rows.where("not done").join(again, ["one", "two"]).select(id_col, "crc", "lo", (F.col("lo") + length).alias("hi"))
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = HOT) -> DataFrame:
-    """(id, crc, lo, hi): byte ranges covered by strings of ``length`` bytes that start elsewhere too."""
+    k1 and k2 are the row's hash. A bucket is sorted in pieces of ``piece_rows`` suffixes, or ``piece_bytes`` of text.
+    """
+    if length <= ANCHOR:
+        raise ValueError(f"length must be over {ANCHOR}")
     found = written(_anchor_rows(docs, id_col, text_col, length), "suffix-anchors")
-    leads = found.groupBy("lead").agg(F.count("*").alias("m"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("m > 1")
-    leads = written(leads.select("lead", "m", (F.col("c0") == F.col("c1")).alias("alike")), "suffix-leads")  # so a frequent token's join can be split
-    shared = written(found.join(leads, "lead"), "suffix-shared")
-    span = lambda d: d.select(id_col, "crc", "lo", (F.col("lo") + F.col("n") + length - 1).alias("hi"))
-
-    mixed = shared.where("not alike")
-    classes = written(mixed.groupBy("lead", "context").agg(F.count("*").alias("c"), F.min(F.struct("crc", "at", id_col)).alias("first")), "suffix-classes")
-    mixed = mixed.join(classes, ["lead", "context"])
-    first = (F.col("first.crc") == F.col("crc")) & (F.col("first.at") == F.col("at")) & F.col(f"first.{id_col}").eqNullSafe(F.col(id_col))
-    # one suffix of each class stands for it in the sort; classes of two or more are repeats already
-    sort = written(mixed.where((F.col("c") == 1) | first).select(id_col, "crc", "lead", "at", "lo", "n", (F.col("c") > 1).alias("done"), (F.col("m") > hot).alias("hot")), "suffix-mixed")
-    done = span(shared.where("alike")).unionByName(span(mixed.where("c > 1")))
-
+    places = written(_first_sort(found, piece_rows), "suffix-places")
+    forget(found)
     # The texts go to their suffixes, not all texts to all: one row of places for each document.
-    places = sort.groupBy(id_col, "crc").agg(F.collect_list(F.struct("lead", "at", "lo", "n", "done", "hot")).alias("s")).withColumnRenamed(id_col, "_k")
-    keyed = _keyed(docs, id_col, text_col)
-    texts = keyed.join(places, F.col("_i").eqNullSafe(F.col("_k")) & (F.col("_crc") == F.col("crc"))).select(F.encode("_t", "UTF-8").alias("b"), F.col("_i").alias(id_col), "crc", F.explode("s").alias("s"))
-    ctx = F.substring("b", F.col("s.lo") + 1, F.col("s.n") + length - 1)
-    suffixes = written(texts.select(id_col, "crc", *(F.col(f"s.{k}").alias(k) for k in ("lead", "at", "lo", "n", "done", "hot")), ctx.alias("ctx")), "suffix-contexts")
-    return done.unionByName(_sorted_repeats(suffixes.where("not hot"), id_col, length)).unionByName(_counted_repeats(suffixes.where("hot"), id_col, length))
+    each = places.where("on").groupBy("k1", "k2").agg(F.collect_set(F.struct("lead", "at", "lo", "n", "done")).alias("s"))
+    texts = _keyed(docs, id_col, text_col).join(each, ["k1", "k2"]).select("k1", "k2", F.encode("_t", "UTF-8").alias("b"), F.explode("s").alias("s"))
+    context = F.substring("b", F.col("s.lo") + 1, F.col("s.n") + length - 1)
+    suffixes = written(texts.select("k1", "k2", "s.*", context.alias("ctx")), "suffix-contexts")
+    by_text = written(_second_sort(suffixes, length, piece_bytes), "suffix-spans")
+    forget(suffixes)
+    across = _across(by_text.where("f1 is not null"))
+    first = places.where("done").select("k1", "k2", "lo", (F.col("lo") + F.col("n") + length - 1).alias("hi"))
+    return first.unionByName(by_text.where("f1 is null").select("k1", "k2", "lo", "hi")).unionByName(across)
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -254,12 +360,11 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int
     return b"".join(left), [tuple(x) for x in merged]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, **pieces) -> DataFrame:
     """Per row of ``docs``: id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay)."""
-    spans = repeated_spans(docs, id_col, text_col, length, hot)
-    by_text = spans.groupBy(id_col, "crc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).withColumnRenamed(id_col, "_k")
-    keyed = _keyed(docs, id_col, text_col)
-    rows = keyed.join(by_text, F.col("_i").eqNullSafe(F.col("_k")) & (F.col("_crc") == F.col("crc")), "left").select("_i", "_t", "spans")
+    spans = repeated_spans(docs, id_col, text_col, length, **pieces)
+    by_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    rows = _keyed(docs, id_col, text_col).join(by_text, ["k1", "k2"], "left").select("_i", "_t", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
