@@ -10,13 +10,16 @@
    of rising frequency they meet under one of each one's first ``M - T + 1`` (the prefix); a frequent
    value is skipped by every class that has enough rare ones, so copies of one text with many
    different changes do not meet.
-4. Inside a posting list, split into pairs of blocks where it is long, a parity sketch of the sets gives
-   a lower bound of each pair's symmetric difference; what passes is a candidate. Round 1 takes a
-   minimum spanning forest of the candidates, round 2 all candidates whose ends are still apart.
-5. Of candidates, those whose signatures collide in ``T`` or more coordinates are kept and confirmed on full sets; components of the confirmed links name the groups.
+4. Round 1 counts the collisions of each member of a posting list with the list's leader, keeps ``T`` or more
+   and confirms them on full sets: a list of alike texts becomes a star, not all its pairs. Round 2 merges
+   the lists whose members are still in different components: a member merges the lists of its rarest
+   ``M - T + 1`` coordinates, which gives counts; members whose count cannot reach ``T`` any more are
+   skipped, and the long lists of the other coordinates are probed for the rest. Pairs of ``T`` collisions in
+   different components are confirmed.
+5. Components of the confirmed links name the groups.
 
-Nothing is capped: long lists become more blocks, and equal lists are looked at once. Sizes that go to
-the driver are counts.
+Nothing is capped: a long list becomes pairs of blocks of about ``BLOCK``, but for pairs inside one component, and
+equal lists are looked at once. Sizes that go to the driver are counts.
 
 Defined results: null or wordless texts are empty and linked with nothing; repeated rows share a group;
 a null id never names a group unless all its members' are null; ids that occur twice are told apart by
@@ -34,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, tidy, written
+from .common import forget, free_name, small_batches, tidy, written
 from .graph import components
 from .rolling import LOWER, Prefix, U, mix, text_chunks
 
@@ -116,35 +119,19 @@ def set_keys(flat: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.column_stack([a, b])]
 
 
-def sketch(values: np.ndarray, words: int) -> np.ndarray:
-    """Parity of the number of elements in each of 64 * words cells (uint64[words]).
-
-    Of two sets' sketches, no more bits differ than elements do.
-    """
-    bits = np.bincount((mix(values ^ U(0x5BD1E995C0FFEE11)) & U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
-
-
-def sketch_words(n: int) -> int:
-    """A power of two by the set's size: 512 bits up to 128 elements, at most 4096 bits."""
-    return int(min(64, max(8, 2 ** int(np.ceil(np.log2(max(n, 1) / 16))))))
-
-
-def fold(s: np.ndarray, words: int) -> np.ndarray:
-    """The sketch of the same set with fewer cells (cells are the low bits of a hash)."""
-    while s.shape[-1] > words:
-        half = s.shape[-1] // 2
-        s = s[..., :half] ^ s[..., half:]
-    return s
-
-
 def most_apart(a, b, percent: int):
     """Largest symmetric difference of sets of sizes a and b that 100 * inter >= percent * union allows."""
     return (a + b) * (100 - percent) // (100 + percent)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each row's id and text with a 128-bit hash of both."""
+    digest = F.sha2(F.col(text_col).cast("binary"), 256)
+    return docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.xxhash64(digest, F.col(id_col)).alias("k1"), F.xxhash64(F.lit(1), digest, F.col(id_col)).alias("k2"))
+
+
 def _describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_shingles long, key binary, sig binary"
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, k1 long, k2 long, n_shingles long, key binary, sig binary"
 
     def run(batches):
         for b in batches:
@@ -155,9 +142,9 @@ def _describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
                 keys, sigs = [None] * len(sizes), [None] * len(sizes)
                 for i, k, s in zip(full.tolist(), set_keys(flat, at), signatures(flat, at, SCREEN), strict=True):
                     keys[i], sigs[i] = k, s.tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(sizes)), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=[id_col, "n_shingles", "key", "sig"])
+                yield pa.RecordBatch.from_arrays([*(b.column(j).slice(row, len(sizes)) for j in (0, 2, 3)), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=[id_col, "k1", "k2", "n_shingles", "key", "sig"])
 
-    return docs.select(id_col, F.col(text_col).alias("_t")).mapInArrow(tidy(run), schema)
+    return _keyed(docs, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def _tokens(sigs: DataFrame, m: int, keep: str, kind: str) -> DataFrame:
@@ -176,96 +163,120 @@ def _tokens(sigs: DataFrame, m: int, keep: str, kind: str) -> DataFrame:
 
 
 def _nodes(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Full sets, sketches and signatures of the classes in ``wanted`` (rep, key), numbered (nid)."""
+    """Full sets and signatures of the classes in ``wanted`` (k1, k2 of one row, key), numbered (nid)."""
 
     def run(batches):
         task, count = TaskContext.get().partitionId() << 36, 0
         for b in batches:
-            want = b.column(1).to_pylist()
             for row, data, offsets in text_chunks(b.column(0)):
                 flat, at = shingle_sets(data, offsets, width)
                 sizes = np.diff(at)
                 full = np.flatnonzero(sizes)
                 rows = []
                 for i, k, s in zip(full.tolist(), set_keys(flat, at), signatures(flat, at, M), strict=True):
-                    if k == want[row + i]:
-                        own = flat[at[i] : at[i + 1]]
-                        rows.append((task + count, k, len(own), sketch(own, sketch_words(len(own))).tobytes(), s.tobytes(), own.tobytes()))
-                        count += 1
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["nid", "key", "n", "sketch", "sig", "elements"])
-
-    rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(wanted, F.col("_i").eqNullSafe(F.col("rep")))
-    return rows.select("_t", "key").mapInArrow(tidy(run), "nid long, key binary, n long, sketch binary, sig binary, elements binary")
-
-
-def _find(parent: dict, x):
-    while parent.setdefault(x, x) != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
-def _group_edges(nid, n, comp, block, sketches, pair, percent: int, forest: bool):
-    """Candidates (a, b) of one list or pair of blocks."""
-    words = min(len(s) // 8 for s in sketches)
-    table = np.stack([fold(np.frombuffer(s, np.uint64), words) for s in sketches])
-    left, right = ((block == pair[0]), (block == pair[1])) if pair[0] != pair[1] else (np.ones(len(nid), bool),) * 2
-    li, ri = np.flatnonzero(left), np.flatnonzero(right)
-    found = []
-    for i in li:  # one row against all at a time: memory stays in proportion to the block
-        apart = np.bitwise_count(table[ri] ^ table[i]).sum(axis=1, dtype=np.int64)
-        ok = (apart <= most_apart(n[ri], n[i], percent)) & (comp[ri] != comp[i]) & (abs(n[ri] - n[i]) <= most_apart(n[ri], n[i], percent))
-        if pair[0] == pair[1]:
-            ok &= ri > i
-        hit = ri[ok]
-        if len(hit):
-            found.append(np.column_stack([apart[ok], np.full(len(hit), i), hit]))
-    if not found:
-        return []
-    found = np.concatenate(found)
-    if not forest:
-        return [(min(nid[i], nid[j]), max(nid[i], nid[j])) for _, i, j in found.tolist()]
-    parent: dict = {}
+                    rows.append((task + count, k, int(sizes[i]), s.tobytes(), flat[at[i] : at[i + 1]].tobytes()))
+                    count += 1
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["nid", "key", "n", "sig", "elements"])
+
+    rows = _keyed(docs, id_col, text_col).join(wanted.select("k1", "k2"), ["k1", "k2"])
+    nodes = written(rows.select("_t").mapInArrow(tidy(run), "nid long, key binary, n long, sig binary, elements binary"), "minhash-nodes")
+    # rows whose id and text are both repeated make several nodes of a class: the least one stays
+    again = nodes.groupBy("key").agg(F.count("*").alias("c"), F.min("nid").alias("nid")).where("c > 1")
+    if again.isEmpty():
+        return nodes
+    gone = nodes.join(again.select("key", F.col("nid").alias("first")), "key").where("nid <> first").select("nid")
+    return written(nodes.join(gone, "nid", "left_anti"), "minhash-nodes")
+
+
+def merge_lists(sig: np.ndarray, comp: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, least: int, percent: int):
+    """Pairs (i, j) of rows of ``sig`` that collide in ``least`` coordinates or more, in different components.
+
+    i is in ``left``, j in ``right``; where both are one block, i < j. Each coordinate's values are posting lists.
+    """
+    n, m = sig.shape
+    prefix = m - least + 1
+    order = np.argsort(sig, axis=0, kind="stable")  # a coordinate's posting lists end to end
+    value = np.take_along_axis(sig, order, 0)
+    new = np.ones((n, m), bool)
+    new[1:] = value[1:] != value[:-1]
+    number = np.arange(n)[:, None]
+    first = np.maximum.accumulate(np.where(new, number, 0), axis=0)
+    stop = np.minimum.accumulate(np.where(np.append(new[1:], np.ones((1, m), bool), 0), number + 1, n)[::-1], axis=0)[::-1]
+    begin, end = np.empty((n, m), np.int64), np.empty((n, m), np.int64)
+    np.put_along_axis(begin, order, first, 0)
+    np.put_along_axis(end, order, stop, 0)
+    lists = np.ascontiguousarray(order.T)
+    same = np.array_equal(left, right)
+    other = np.zeros(n, bool)
+    other[right] = True
     out = []
-    for _, i, j in found[np.lexsort((nid[found[:, 2]], nid[found[:, 1]], found[:, 0]))].tolist():
-        a, b = _find(parent, comp[i]), _find(parent, comp[j])
-        if a != b:
-            parent[a] = b
-            out.append((min(nid[i], nid[j]), max(nid[i], nid[j])))
+    for i in left.tolist():
+        by = np.argsort(end[i] - begin[i], kind="stable")  # the short lists first
+        head, rest = by[:prefix], by[prefix:]
+        merged = np.concatenate([lists[c, a:b] for c, a, b in zip(head.tolist(), begin[i, head].tolist(), end[i, head].tolist(), strict=True)])
+        count = np.bincount(merged, minlength=n)
+        may = (count > 0) & other & (comp != comp[i]) & (abs(size - size[i]) <= most_apart(size, size[i], percent))
+        if same:
+            may[: i + 1] = False
+        j = np.flatnonzero(may)
+        have = count[j]
+        for part in np.array_split(rest, 4):  # skip those that cannot reach the threshold any more
+            keep = have + len(rest) >= least
+            j, have = j[keep], have[keep]
+            if not len(j):
+                break
+            have = have + (sig[np.ix_(j, part)] == sig[i, part]).sum(axis=1)
+            rest = rest[len(part) :]
+        out += [(i, x) for x in j[have >= least].tolist()]
     return out
 
 
-def _candidates(lists: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Distinct candidate pairs of the posting lists (token, nid, blocks), whose ends differ in ``comp``."""
-    own = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
-    rows = lists.withColumn("own", own).join(nodes.select("nid", "n", "sketch", "comp"), "nid")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "nid", "n", "comp", "sketch")
-    dealt = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "nid")
+def _merged(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs with enough collisions of the posting lists (token, nid), whose ends differ in ``comp``.
+
+    Components with over ``BLOCK`` members in a list have blocks of their own, which do not meet each other.
+    """
+    rows = lists.join(nodes.select("nid", "comp"), "nid")
+    per = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    small = per.where(F.col("c") <= BLOCK).groupBy("token").agg(F.ceil(F.sum("c") / BLOCK).alias("bins"))
+    per = per.join(small, "token", "left").withColumn("many", F.when(F.col("c") > BLOCK, F.ceil(F.col("c") / BLOCK)))
+    mine = F.struct(F.when(F.col("many").isNotNull(), F.col("comp")).alias("own"), F.when(F.col("many").isNotNull(), F.pmod(F.xxhash64("nid"), F.col("many"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("bins"))).alias("bin"))
+    placed = written(rows.join(per.select("token", "comp", "many", "bins"), ["token", "comp"]).select("token", "nid", mine.alias("block")), "minhash-blocks")
+    blocks = placed.select("token", "block").distinct()
+    apart = F.col("lo.own").isNull() | (F.col("lo.own") != F.coalesce("hi.own", F.lit(-1)))  # two blocks, or one of small components
+    pairs = blocks.withColumnRenamed("block", "lo").join(blocks.withColumnRenamed("block", "hi"), "token").where((F.col("lo") <= F.col("hi")) & apart)
+    pairs = written(pairs, "minhash-block-pairs")
+    sides = [placed.join(pairs.withColumn("block", F.col(x)).where(F.lit(x == "lo") | (F.col("lo") != F.col("hi"))), ["token", "block"]) for x in ("lo", "hi")]
+    dealt = sides[0].unionByName(sides[1]).join(nodes.select("nid", "n", "comp", "sig"), "nid")
+    dealt = dealt.select("token", F.xxhash64("lo").alias("a"), F.xxhash64("hi").alias("b"), (F.col("block") == F.col("lo")).alias("left"), (F.col("block") == F.col("hi")).alias("right"), "nid", "comp", "n", "sig")
+    dealt = dealt.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "nid")
+    least = threshold_matches(percent / 100)
 
     def run(batches):
         held, key = [], None
 
         def close():
-            if len(held) < 2 or len({r[3] for r in held}) < 2:
+            if len({r[3] for r in held}) < 2:
                 return None
-            cols = list(zip(*held, strict=True))
-            pairs = _group_edges(*(np.array(c, np.int64) for c in cols[1:4]), np.array(cols[0]), cols[4], key[1:], percent, forest)
+            left, right, nid, comp, n, sig = zip(*held, strict=True)
+            nid = np.array(nid)
+            table = np.frombuffer(b"".join(sig), np.uint32).reshape(-1, M)
+            pairs = merge_lists(table, np.array(comp), np.array(n), np.flatnonzero(left), np.flatnonzero(right), least, percent)
             if not pairs:
                 return None
-            a, b = zip(*pairs, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            ends = np.sort(nid[np.array(pairs)], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             for k, row in zip(zip(*cols[:3], strict=True), zip(*cols[3:], strict=True), strict=True):
                 if k != key:
-                    if (out := close()) is not None:
+                    if held and (out := close()) is not None:
                         yield out
                     held, key = [], k
                 held.append(row)
-        if (out := close()) is not None:
+        if held and (out := close()) is not None:
             yield out
 
     return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
@@ -276,19 +287,31 @@ def collisions(a: bytes, b: bytes) -> int:
     return int((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).sum())
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that collide often enough and whose full sets reach the similarity."""
+def _colliding(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures collide in the threshold's number of coordinates or more."""
     least = threshold_matches(percent / 100)
-    sets = nodes.select("nid", "elements", "sig")
-    both = pairs.join(sets.withColumnsRenamed({"nid": "a", "elements": "ea", "sig": "sa"}), "a").join(sets.withColumnsRenamed({"nid": "b", "elements": "eb", "sig": "sb"}), "b")
+    sig = nodes.select("nid", "sig", "n")
+    both = pairs.join(sig.withColumnsRenamed({"nid": "a", "sig": "sa", "n": "na"}), "a").join(sig.withColumnsRenamed({"nid": "b", "sig": "sb", "n": "nb"}), "b")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, M) for i in (2, 3))
+            n, o = (batch.column(i).to_numpy() for i in (4, 5))
+            good = ((x == y).sum(axis=1) >= least) & (abs(n - o) <= most_apart(n, o, percent))
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(tidy(run), "a long, b long")
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the similarity."""
+    sets = nodes.select("nid", "elements")
+    both = pairs.join(sets.withColumnsRenamed({"nid": "a", "elements": "ea"}), "a").join(sets.withColumnsRenamed({"nid": "b", "elements": "eb"}), "b")
 
     def run(batches):
         for batch in batches:
             good = []
-            for x, y, sx, sy in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                if collisions(sx, sy) < least:
-                    good.append(False)
-                    continue
+            for x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.concatenate([p, q])
                 both.sort(kind="stable")
@@ -296,7 +319,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * inter >= percent * (len(p) + len(q) - inter))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "ea", "eb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
+    return both.select("a", "b", "ea", "eb").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
@@ -304,15 +327,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 7 <= percent <= 100:
         raise ValueError("percent must be from 7 to 100: below, pairs at the threshold may collide nowhere")
     about = written(_describe(docs, id_col, text_col, width), "minhash-docs")
-    classes = written(about.where("key is not null").groupBy("key").agg(F.min(id_col).alias("rep"), F.first("sig").alias("sig")), "minhash-classes")
-    wanted, least = classes.select("key", "rep"), screen_least(percent / 100)
+    classes = written(about.where("key is not null").groupBy("key").agg(F.min(id_col).alias("rep"), F.min(F.struct("k1", "k2")).alias("row"), F.first("sig").alias("sig")), "minhash-classes")
+    wanted, least = classes.select("row.k1", "row.k2"), screen_least(percent / 100)
     if least:
         # classes go by 64 bits here: two of equal bits would only let both through
         short = _tokens(classes.select(F.xxhash64("key").alias("k"), "sig"), SCREEN, "k", "long")
         shared = short.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
         near = short.join(shared, "token", "left_semi").groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-        wanted = classes.select("key", "rep", F.xxhash64("key").alias("k")).join(near, "k").select("key", "rep")
-    nodes = written(_nodes(docs, wanted, id_col, text_col, width), "minhash-nodes")
+        wanted = classes.select("row.k1", "row.k2", F.xxhash64("key").alias("k")).join(near, "k").select("k1", "k2")
+    nodes = _nodes(docs, wanted, id_col, text_col, width)
 
     matches = threshold_matches(percent / 100)
     prefix = M - matches + 1
@@ -321,20 +344,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = tokens.join(counts, "token").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))  # at most M each
     room = F.greatest(F.lit(0), F.lit(prefix - M) + F.size("t"))
     posted = written(order.select("nid", F.explode(F.slice("t", F.lit(1), room)).alias("t")).select("nid", F.col("t.token").alias("token")), "minhash-posted")
-    lists = posted.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("nid").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("x")).where("c > 1")
-    once = lists.groupBy("c", "s", "x").agg(F.min("token").alias("token"))  # equal lists are looked at once
-    lists = written(posted.join(once.select("token", F.ceil(F.col("c") / BLOCK).alias("blocks")), "token"), "minhash-lists")
-
-    start = nodes.withColumn("comp", F.col("nid"))
-    links = written(_confirm(_candidates(lists, start, percent, True), nodes, percent), "minhash-links")
+    forget(tokens)
+    lead = F.min(F.struct(F.xxhash64("nid").alias("h"), F.col("nid").alias("lead")))
+    lists = posted.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("nid").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("x"), lead.alias("l")).where("c > 1")
+    once = lists.groupBy("c", "s", "x").agg(F.min(F.struct("token", "l.lead")).alias("t"))  # equal lists are looked at once
+    lists = written(posted.join(once.select("t.token", "t.lead", "c"), "token"), "minhash-lists")
+
+    star = lists.where("nid <> lead").select(F.least("nid", "lead").alias("a"), F.greatest("nid", "lead").alias("b")).distinct()
+    links = written(_confirm(_colliding(star, nodes, percent), nodes, percent), "minhash-links")
     roots = components(links)
-    merged = nodes.select("nid", "n", "sketch").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid"))
-    more = written(_confirm(_candidates(lists, merged, percent, False), nodes, percent), "minhash-links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-
-    # rows whose id and text are both repeated make several nodes of a class: the least one names it
-    named = nodes.groupBy("key").agg(F.min("nid").alias("node")).join(roots, "node")
+    merged = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid"))
+    # of a list of two the only pair has been counted
+    open_ = lists.where("c > 2").join(merged.select("nid", "comp"), "nid").groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    left = written(lists.join(open_, "token", "left_semi").select("token", "nid"), "minhash-lists")
+    if not left.isEmpty():
+        more = written(_confirm(_merged(left, merged, percent), nodes, percent), "minhash-links")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
+
+    named = nodes.select("key", F.col("nid").alias("node")).join(roots, "node")
     by_class = classes.select("key", "rep").join(named.select("key", "root"), "key", "left")
     group = by_class.where("root is not null").groupBy("root").agg(F.min("rep").alias("low"))
     final = by_class.join(group, "root", "left").select("key", F.coalesce("low", "rep").alias("component_id"))
