@@ -11,8 +11,8 @@ templates know) get an escape mark after their first character, and the escape m
 one regular expression undoes. The loss mask is an array of code-point spans of the assistant's texts.
 
 ``collect_list`` combines on the map side; a conversation is one row of output and so has to fit in
-one, but no other group is formed. Defined results: null texts and roles are empty; equal turn numbers
-sort by role, then text; a null conversation id is a conversation; extra columns are ignored; an empty
+one, but no other group is formed. Defined results: null texts and roles are empty; null turn numbers come
+last, equal ones sort by role, then text; a null conversation id is a conversation; extra columns are ignored; an empty
 table gives only what ``extra`` adds.
 """
 
@@ -46,28 +46,35 @@ def _quoted(x: str) -> str:
     return rf"\Q{x}\E"
 
 
-def _spans(blocks: Column) -> Column:
-    """Code-point spans (start, end) of the texts of loss blocks."""
-    head = len(TURN) + len(TEXT)
+def running(sizes: Column) -> Column:
+    """The sum of all earlier elements, for each element of an array of int.
 
-    def texts(at: Column, b: Column) -> Column:
-        first = F.struct((at + head + F.length(b["role"])).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-        step = lambda acc, t: F.struct((acc["at"] + F.length(t) + len(NEXT)).alias("at"), F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(t)).alias("end")))).alias("spans"))
-        return F.aggregate(b["texts"], first, step)
+    In pieces of the square root of the array's size: an aggregate that grows an array copies it at each step.
+    """
+    each = F.ceil(F.sqrt(F.size(sizes))).cast("int")
+    pieces = F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(1), F.size(sizes), each), lambda i: F.slice(sizes, i, each))).otherwise(F.array().cast("array<array<int>>"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    def before(xs: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all")), lambda acc: acc["all"])
 
-    def block(acc: Column, b: Column) -> Column:
-        inner = texts(acc["at"], b)
-        after = inner["at"] - len(NEXT) + len(END)
-        return F.struct(after.alias("at"), F.when(b["loss"], F.concat(acc["spans"], inner["spans"])).otherwise(acc["spans"]).alias("spans"))
+    totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x))
+    return F.flatten(F.zip_with(pieces, before(totals), lambda p, start: F.transform(before(p), lambda x: x + start)))
 
-    return F.aggregate(blocks, zero, block)["spans"]
+
+def _parts(blocks: Column) -> Column:
+    """One struct for each text in order: code points of the text, of what precedes it since the last, and its mask."""
+
+    def texts(b: Column) -> Column:
+        head = F.length(b["role"]) + len(TURN) + len(TEXT)
+        return F.transform(b["texts"], lambda t, i: F.struct(F.length(t).alias("size"), F.when(i == 0, head).otherwise(len(NEXT)).alias("head"), F.when(i == F.size(b["texts"]) - 1, len(END)).otherwise(0).alias("tail"), b["loss"].alias("loss")))
+
+    return F.flatten(F.transform(blocks, texts))
 
 
 def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row a conversation: id, ``formatted``, ``loss_spans``, ``n_blocks``."""
-    one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    one = F.struct(F.col(turn_col).isNull().alias("none"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = turns.groupBy(F.col(id_col)).agg(F.array_sort(F.collect_list(one)).alias("_t"))
     rows = rows.withColumn("_s", F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i)["role"] != F.get("_t", i - 1)["role"])))
 
@@ -78,7 +85,11 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 
     rows = rows.select(id_col, F.transform("_s", block).alias("_b"))
     text = F.array_join(F.transform("_b", lambda b: F.concat(F.lit(TURN), b["role"], F.lit(TEXT), F.array_join(b["texts"], NEXT), F.lit(END))), "")
-    return rows.select(id_col, text.alias("formatted"), _spans(F.col("_b")).alias("loss_spans"), F.size("_b").alias("n_blocks"))
+    rows = rows.select(id_col, text.alias("formatted"), _parts(F.col("_b")).alias("_p"), F.size("_b").alias("n_blocks"))
+    starts = running(F.transform("_p", lambda p: p["head"] + p["size"] + p["tail"]))
+    spans = F.zip_with("_p", starts, lambda p, at: F.struct((at + p["head"]).alias("start"), (at + p["head"] + p["size"]).alias("end"), p["loss"].alias("loss")))
+    spans = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["end"]))
+    return rows.select(id_col, "formatted", spans.alias("loss_spans"), "n_blocks")
 
 
 def read_chats(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -90,8 +101,11 @@ def read_chats(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
         texts = F.split(F.regexp_replace(parts[1], _quoted(END) + r"\z", ""), _quoted(NEXT), -1)
         return F.transform(texts, lambda t: F.struct(unescape(parts[0]).alias("role"), unescape(t).alias("text")))
 
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
-    return chats.select(id_col, F.flatten(F.transform(blocks, turns)).alias("turns"), loss.alias("loss_text"), F.length("formatted").alias("formatted_chars"), "n_blocks")
+    # Four bytes a code point, so that a span is found without counting from the start; one array element for
+    # each span refers to the same bytes.
+    wide = F.array_repeat(F.encode("formatted", "UTF-32"), F.size("loss_spans"))
+    under = F.zip_with(wide, "loss_spans", lambda w, s: unescape(F.decode(F.substring(w, s["start"] * 4 + 1, (s["end"] - s["start"]) * 4), "UTF-32")))
+    return chats.select(id_col, F.flatten(F.transform(blocks, turns)).alias("turns"), F.array_join(under, "").alias("loss_text"), F.length("formatted").alias("formatted_chars"), "n_blocks")
 
 
 def op6_chat_format(spark, sf_dir: str) -> DataFrame:
@@ -113,11 +127,11 @@ def _sql_escape(x: str) -> str:
 OP6_SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS DISTINCT FROM role AS opens FROM c)
+o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) IS DISTINCT FROM role AS opens FROM c)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length({_sql_escape('text')}) + CASE WHEN opens THEN {len(TURN) + len(TEXT) + len(END)} + length({_sql_escape('role')})
     ELSE {len(NEXT)} END) AS BIGINT) AS formatted_chars
 FROM o GROUP BY conv_id

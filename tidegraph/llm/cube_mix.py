@@ -16,7 +16,8 @@ all where these are fewer, so that their sums lie close over a wide range whethe
 taken. What a source's blocks leave open (``LAND`` + 2 each at most) is dealt into fewer blocks until the
 source has one, which lands: each source by itself, whatever the sizes of the others.
 
-The driver gets one row for each source. Results depend on the rows alone, not on how they are dealt.
+The driver gets one row for each source. Results depend on the rows alone, not on how they are dealt:
+equal sizes go by a hash of the id, then of the whole row, and only equal rows can change places.
 
 Defined results: null text has size 0; null source is a source of its own, the last; a source without
 words has target 0; repeated rows are documents of their own; an empty table gives an empty result;
@@ -237,12 +238,15 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     salt = F.xxhash64(F.col(id_col), F.col(size), F.lit(17))
     rows = rows.withColumn(blk, F.to_json(F.struct(F.col(src_col).alias("s"), F.pmod(salt, F.col(blocks_col)).alias("b")))).withColumn(order, salt).drop(src_col)
 
+    # rows that tie in all else, as those of equal id and size but different text, go by a hash of the row
+    whole = F.xxhash64(*(F.to_json(c) if "map<" in kind else F.col(c) for c, kind in docs.dtypes))
+
     result = rows.where(F.col(prob) == 0)
     open_ = rows.where(F.col(prob) > 0)
     n_blocks, level = max((t[5] for t in table), default=1), 0
     while True:
         last = n_blocks == 1
-        dealt = open_.repartition(blk).sortWithinPartitions(F.col(blk), F.col(size), order, id_col)
+        dealt = open_.repartition(blk).sortWithinPartitions(F.col(blk), F.col(size), order, id_col, whole)
         moved = _fly(dealt, blk, size, prob, copies, blocks_col, level)
         if last:
             result = result.unionByName(moved)

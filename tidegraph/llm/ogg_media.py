@@ -2,7 +2,8 @@
 
 The container is Ogg as published in RFC 3533: pages with a checksum (polynomial 0x04c11db7, not
 reflected), lacing values, logical streams told apart by serial number, granule positions. Stream 1
-holds 8-bit samples, stream 2 one packet with the payload's unpadded length. The reader verifies each
+holds 8-bit samples, stream 2 a packet for each packet of samples that says how much of it is text; their pages
+take turns. The reader verifies each
 page, puts packets together across pages, takes the streams apart and turns granule positions into
 timestamps. One pass, no shuffle; equal texts give equal bytes.
 
@@ -15,6 +16,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 RATE, PACKET, SAMPLES, BOUNDS = 8000, 8192, 1, 2
+HEAD, BOUND_HEAD = b"tgpcm8\x00\x01", b"tgbound\x01"
 _NONE = (1 << 64) - 1
 _FLIP = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 _HEAD = struct.Struct("<4sBBQIIIB")
@@ -45,19 +48,18 @@ def _page(kind: int, granule: int, serial: int, number: int, lacing: bytes, body
     return head[:22] + struct.pack("<I", crc) + head[26:] + body
 
 
-def stream_pages(serial: int, packets: list[tuple[bytes, int]], most: int = 255) -> list[bytes]:
-    """Pages of one logical stream; the first packet, its header, stands alone on the first page.
+def stream_pages(serial: int, groups: list[list[tuple[bytes, int]]], most: int = 255) -> list[list[bytes]]:
+    """Pages of one logical stream, those of each group of packets apart; the first group is the header.
 
-    packets: content and granule position at its end. A packet goes on over pages where it must.
+    A packet: content and granule position at its end. A packet goes on over pages where it must.
     """
-    pages, number = [], 0
-    groups = [packets[:1], packets[1:]] if len(packets) > 1 else [packets]
+    out, number = [], 0
     for g, group in enumerate(groups):
         segments = []  # (lacing value, ends a packet, its granule)
         for body, granule in group:
             whole, rest = divmod(len(body), 255)
             segments += [(255, False, 0)] * whole + [(rest, True, granule)]
-        body, at, pos, inside = b"".join(b for b, _ in group), 0, 0, False
+        body, at, pos, inside, pages = b"".join(b for b, _ in group), 0, 0, False, []
         while at < len(segments):
             part = segments[at : at + most]
             size = sum(x[0] for x in part)
@@ -66,7 +68,8 @@ def stream_pages(serial: int, packets: list[tuple[bytes, int]], most: int = 255)
             kind = inside | 2 * (number == 0) | 4 * last
             pages.append(_page(kind, ended[-1] if ended else _NONE, serial, number, bytes(x[0] for x in part), body[pos : pos + size]))
             inside, at, pos, number = not part[-1][1], at + most, pos + size, number + 1
-    return pages
+        out.append(pages)
+    return out
 
 
 def pad(raw: bytes, unit: int = 64) -> bytes:
@@ -74,13 +77,19 @@ def pad(raw: bytes, unit: int = 64) -> bytes:
 
 
 def encode(raw: bytes, rate: int = RATE, packet: int = PACKET) -> bytes:
-    """The Ogg file of one payload: headers of both streams first, then their pages."""
+    """The Ogg file of one payload: headers of both streams first, then their pages by turns, in order of time.
+
+    A page of samples holds as many whole packets as its 255 lacing values allow (a longer packet goes on);
+    the page of bounds after it says for each of them how many bytes of the text have gone by.
+    """
     payload = pad(raw)
-    cuts = [payload[i : i + packet] for i in range(0, len(payload), packet)]
-    samples = [(b"tgpcm8\x00\x01" + struct.pack("<I", rate), 0)]
-    samples += [(x, min((i + 1) * packet, len(payload))) for i, x in enumerate(cuts)]
-    a, b = stream_pages(SAMPLES, samples), stream_pages(BOUNDS, [(b"tgbound\x01", 0), (struct.pack("<Q", len(raw)), len(payload))])
-    return b"".join([a[0], b[0], *b[1:], *a[1:]])
+    each = max(1, 255 // (packet // 255 + 1))
+    ends = [min(i + packet, len(payload)) for i in range(0, len(payload), packet)]
+    samples = [(payload[i * packet : e], e) for i, e in enumerate(ends)]
+    bounds = [(struct.pack("<Q", min(e, len(raw))), e) for e in ends]
+    deal = lambda head, packets: [[(head, 0)], *(packets[i : i + each] for i in range(0, len(packets), each))]
+    a, b = stream_pages(SAMPLES, deal(HEAD + struct.pack("<I", rate), samples)), stream_pages(BOUNDS, deal(BOUND_HEAD, bounds))
+    return b"".join(page for x, y in zip(a, b, strict=True) for page in (*x, *y))
 
 
 @dataclass
@@ -90,6 +99,7 @@ class Stream:
     packets: list[bytes] = field(default_factory=list)
     granules: list[int | None] = field(default_factory=list)
     pages: int = 0
+    last: int = 0
     ended: bool = False
     open: list[bytes] = field(default_factory=list)
 
@@ -120,7 +130,7 @@ def demultiplex(data: bytes) -> dict[int, Stream]:
         if s.ended or number != s.pages or bool(s.open) != bool(kind & 1):
             raise OggError("a stream's pages are not in order")
         s.pages += 1
-        size = 0
+        size, before = 0, len(s.packets)
         for x in lacing:
             size += x
             if x < 255:
@@ -130,8 +140,12 @@ def demultiplex(data: bytes) -> dict[int, Stream]:
                 s.open, body, size = [], body + size, 0
         if size or (n and lacing[-1] == 255):
             s.open.append(data[body : body + size])
+        if (granule != _NONE) != (len(s.packets) > before):
+            raise OggError("a granule position without the end of a packet, or the end of one without it")
         if granule != _NONE:
-            s.granules[-1] = granule
+            if granule < s.last:
+                raise OggError("a stream's time runs backward")
+            s.granules[-1] = s.last = granule
         s.ended, at = bool(kind & 4), end
     if any(s.open or not s.ended for s in streams.values()):
         raise OggError("a stream has no end")
@@ -149,15 +163,26 @@ class Media:
 
 
 def decode(data: bytes) -> Media:
+    """Payload and bounds of a file of ``encode``. Raises OggError for anything that is not whole."""
     streams = demultiplex(data)
     if set(streams) != {SAMPLES, BOUNDS}:
         raise OggError("a logical stream is missing")
     a, b = streams[SAMPLES], streams[BOUNDS]
-    rate = struct.unpack_from("<I", a.packets[0], 8)[0]
+    if len(a.packets) < 2 or a.packets[0][:-4] != HEAD or b.packets[:1] != [BOUND_HEAD]:
+        raise OggError("a header is missing or of another kind")
+    rate = struct.unpack("<I", a.packets[0][-4:])[0]
+    if not rate:
+        raise OggError("a rate of 0")
     payload = b"".join(a.packets[1:])
-    if a.granules[-1] != len(payload):
+    if a.last != len(payload):
         raise OggError("the last granule position is not the number of samples")
-    return Media(payload, struct.unpack("<Q", b.packets[1])[0], rate, a.times_us(rate)[-1], a.pages + b.pages, len(a.packets) + len(b.packets))
+    if len(b.packets) != len(a.packets) or any(len(x) != 8 for x in b.packets[1:]):
+        raise OggError("bounds and samples are not of the same number")
+    passed = [struct.unpack("<Q", x)[0] for x in b.packets[1:]]
+    n, ends = passed[-1], accumulate(map(len, a.packets[1:]))
+    if b.last != a.last or passed != [min(e, n) for e in ends] or len(payload) != max(64, -(-n // 64) * 64) or any(payload[n:]):
+        raise OggError("the bounds do not fit the samples")
+    return Media(payload, n, rate, a.times_us(rate)[-1], a.pages + b.pages, len(a.packets) + len(b.packets))
 
 
 def describe(m: Media) -> str:

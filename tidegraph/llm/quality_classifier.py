@@ -1,13 +1,12 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Training takes a bounded sample of labelled documents (``max_train``, by a hash of the id, so the
-same at each run), bins each statistic once and grows trees of fixed depth from bin histograms of
+Training takes at most ``max_train`` labelled ids (by a hash of the id, so the same at each run), bins each statistic once and grows trees of fixed depth from bin histograms of
 gradients and hessians. A forest is a handful of flat arrays; scoring a batch walks all trees of
 all rows at once with numpy. Documents are scored in one pass without a shuffle.
 
 Defined results: a null text scores as an empty one; an empty training set gives 0.5 for all;
-repeated rows get equal scores; null labels or ids are not trained on; of several labels for an id,
-each trains; extra columns are ignored.
+repeated rows get equal scores; null labels or ids are not trained on; of several labels or texts of an
+id one trains; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,24 +98,23 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_train: int = 20_000, **how) -> Forest:
-    """A forest from at most about ``max_train`` labelled rows of ``docs``, chosen by a hash of the id.
+    """A forest from at most ``max_train`` labelled ids of ``docs``, those of the least hash.
 
-    Only the sample's ids, whose number is bounded by ``max_train``, are sent to the executors.
+    An id trains once: with the least of its labels and, of its texts, that of the least hash. The sample's
+    ids, which are sent to the executors, and its rows, which come to the driver, are ``max_train`` at most.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).select(F.col(id_col).alias("k"), F.col(label).cast("double").alias("y"))
-    total = known.count()
-    part = F.pmod(F.xxhash64("k"), F.lit(1 << 20))
-    sample = known if total <= max_train else known.where(part < int((1 << 20) * max_train / total))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.min(F.col(label).cast("double")).alias("y"))
+    sample = known.orderBy(F.xxhash64("k"), "k").limit(max_train)
 
     def run(batches):
         for b in batches:
             x = features(stats_table(b.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "k", "y"])
 
-    rows = (
-        docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("k")).join(F.broadcast(sample), "k").select("text", F.col("k").cast("string").alias("k"), "y")
-        .mapInArrow(tidy(run), "x array<double>, k string, y double").collect()
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(text.alias("text"), F.col(id_col).alias("k")).join(F.broadcast(sample), "k")
+    one = found.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t")).select("t.text", F.col("k").cast("string").alias("k"), "y")
+    rows = one.mapInArrow(tidy(run), "x array<double>, k string, y double").collect()
     rows.sort(key=lambda r: (r.k, r.y, r.x))
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows]), **how)
 
