@@ -119,6 +119,24 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert token_arrow.read_documents(index, f"file://{tmp_path}/b").count() == 0
 
 
+def test_token_ids_are_the_library_s(spark, tmp_path):
+    """Also where a text holds the string of a special token."""
+    path = P.path("byte_bpe_50k.json")
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y", "a\n<|endoftext|>\n b<|endoftext|><|endoftext|>.", "<|endoftext", *fuzzed(3000)]
+    t = Tokenizer.from_file(path)
+    for as_text in (False, True):
+        t.encode_special_tokens = as_text
+        ids, at = token_arrow.units_of(path, as_text).encode(*laid_out(texts), end=0)
+        for i, x in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == [*t.encode(x, add_special_tokens=False).ids, 0], x
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = token_arrow.write_tokens(df, f"file://{tmp_path}/s", path, length=64, per_batch=4, shard_bytes=1 << 14)
+    assert index.select("shard").distinct().count() > 4  # by size
+    t.encode_special_tokens = False
+    rows = token_arrow.read_documents(index, f"file://{tmp_path}/s").orderBy("doc_id").collect()
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for x in texts]
+
+
 def test_ogg(spark, odd, empty):
     for raw in (b"", b"a", b"x" * 64, b"y" * 65, bytes(range(256)) * 700):
         m = ogg_media.decode(ogg_media.encode(raw))
@@ -194,18 +212,54 @@ def test_chat_query_against_sql(spark):
     assert (got == want).all().all()
 
 
+def laid_out(texts):
+    """UTF-8 data and offsets of texts."""
+    raw = [(t or "").encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+
+
+def fuzzed(n, seed=1, special="<|endoftext|>"):
+    """Short texts of characters that the pre-tokenising pattern treats in different ways."""
+    rnd = np.random.default_rng(seed)
+    some = [*"ab1,.' \n\t'sé🙂<|>endoftext　  \x85\x1cé½²\u0301中", *[special] * 2]
+    return ["".join(some[i] for i in rnd.integers(0, len(some), rnd.integers(1, 40))) for _ in range(n)]
+
+
 def test_bpe(spark, odd, empty):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_replay.load_ranks(path), special_tokens={})
-    c = bpe_replay.Codec(path, P.PATTERN, limit=5)
-    texts = [t or "" for t in TEXTS] + ["aaaaaaaaaaaaaaaa" * 20, "it's  'll\r\n\r\n  x", "　a b", "1234 abc123"]
-    for t, ids in zip(texts, c.encode(texts), strict=True):
-        assert np.frombuffer(ids, np.uint32).tolist() == library.encode_ordinary(t) and c.decode(ids) == t.encode()
-    rows = bpe_replay.encode(odd, path, P.PATTERN).collect()
-    assert len(rows) == odd.count() and bpe_replay.encode(empty, path, P.PATTERN).count() == 0
+    texts = [t or "" for t in TEXTS] + ["aaaaaaaaaaaaaaaa" * 20, "eeeeeeeee " * 500 + "----=====" * 50, "it's  'll\r\n\r\n  x", "　a b", "1234 abc123", *fuzzed(2000)]
+    for limit in (5, 1 << 12):
+        c = bpe_replay.Codec(path, P.PATTERN, limit=limit)
+        for _ in range(2):  # the second time some units are remembered
+            ids, at = c.encode(*laid_out(texts))
+            for i, t in enumerate(texts):
+                assert ids[at[i] : at[i + 1]].tolist() == library.encode_ordinary(t) and c.decode(ids[at[i] : at[i + 1]]) == t.encode()
+    rows = bpe_replay.encode(odd, path, P.PATTERN, with_ids=False).collect()
+    want = collections.Counter()
+    for r in odd.collect():
+        ids = np.array(library.encode_ordinary(r.text or ""), "<u4").tobytes()
+        want[r.doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+    assert collections.Counter(map(tuple, rows)) == want and bpe_replay.encode(empty, path, P.PATTERN).count() == 0
 
 
-def brute_repeats(texts, k):
+def test_replay_of_many_words_at_once():
+    """Words share merges, so most are replayed together; each comes out as the library has it alone."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe_replay.load_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = np.random.default_rng(2)
+    stems = ["straw", "berry", "un", "believ", "able", "tion", "aaa", "ee", "lll", "xyz", "qu", "é", "ß", "00", "--"]
+    words = list({"".join(stems[i] for i in rnd.integers(0, len(stems), rnd.integers(1, 9))) for _ in range(3000)})
+    ids, first = bpe_replay.MergeReplay(ranks).encode_words([w.encode() for w in words])
+    stop = np.append(first[1:], len(ids))
+    for w, i, j in zip(words, first, stop, strict=True):
+        assert ids[i:j].tolist() == library._encode_single_piece(w)
+    ids, first = bpe_replay.MergeReplay(ranks).encode_words([])
+    assert len(ids) == len(first) == 0
+
+
+def brute_repeats(texts, k, spans=False):
     raws = [(t or "").encode() for t in texts]
     seen = collections.Counter(r[i : i + k] for r in raws for i in range(len(r) - k + 1))
     for r in raws:
@@ -213,20 +267,85 @@ def brute_repeats(texts, k):
         for i in range(len(r) - k + 1):
             if seen[r[i : i + k]] > 1:
                 hit[i : i + k] = True
-        yield int(hit.sum()), bytes(np.frombuffer(r, np.uint8)[~hit])
+        out = int(hit.sum()), bytes(np.frombuffer(r, np.uint8)[~hit])
+        yield (*out, int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum())) if spans else out
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_repeats_against_brute_force(spark, empty, hot):
+@pytest.mark.parametrize("pieces", [{}, {"piece_rows": 3, "piece_bytes": 1200}, {"piece_rows": 1, "piece_bytes": 1}])
+def test_repeats_against_brute_force(spark, empty, pieces):
     a, b = LONG[:700], LONG[900:1500]
     texts = [None, "", "x" * 199, "x" * 200, "y" * 201, "z" * 900, a, a, a[:250] + "!" + a[251:], b[:199], b, "é" * 150, "q" + b[50:260] + "zz" + b[50:260], "ab" * 150, "ba" * 120]
+    texts += [f"{i} " * i + LONG[2000:2230] + f" {i}" * (i % 7) for i in range(30)]  # a frequent passage in different surroundings
     df = spark.createDataFrame([*enumerate(texts), (None, "w" * 220)], "doc_id long, text string")
-    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, hot=hot).collect()}
-    for i, want in enumerate(brute_repeats([*texts, "w" * 220], 200)):
-        assert got[i if i < len(texts) else None] == want, i
+    got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df.repartition(5), **pieces).collect()}
+    for i, (n, want) in enumerate(brute_repeats([*texts, "w" * 220], 200)):
+        assert got[i if i < len(texts) else None] == (len(([*texts, "w" * 220][i] or "").encode()), n, want), i
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeats_on_all_small_documents(spark, docs):
+    rows = docs.select("doc_id", "text").collect()
+    got = {r.doc_id: (r.n_removed, r.kept_sha256, r.n_spans) for r in queries()["op8_suffix_dedup"](spark, DATA).collect()}
+    for r, (n, left, spans) in zip(rows, brute_repeats([r.text for r in rows], 200, True), strict=True):
+        assert got[r.doc_id] == (n, hashlib.sha256(left).hexdigest(), spans), r.doc_id
+
+
+def test_many_equal_rows_and_null_ids(spark):
+    """Work grows with the rows, not their square; rows of one id are told apart by their text."""
+    a, b = LONG[:600], LONG[700:1300]
+    rows = [(1, a)] * 1000 + [(None, a[:300] + "#" + a[301:])] * 300 + [(None, b), (None, b[:250]), (1, "short")]
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 600, 600, 1): 1000, (None, 600, 600, 1): 300, (None, 600, 250, 1): 1, (None, 250, 250, 1): 1, (1, 5, 0, 0): 1}
+
+
+def test_multikey_quicksort():
+    rnd = np.random.default_rng(6)
+    for n, depth, values in ((0, 2, 3), (1, 2, 3), (500, 3, 2), (400, 4, 1), (300, 2, 10**9)):
+        tokens, run = rnd.integers(0, values, (n, depth)).astype(np.uint64), np.sort(rnd.integers(0, 4, n))
+        order = suffix_dedup.multikey_quicksort(tokens, run)
+        assert sorted(order) == list(range(n)) and [(run[i], *tokens[i]) for i in order] == sorted((r, *t) for r, t in zip(run, tokens, strict=True))
+    tokens = np.array([[5, 7], [5, 7 << 56], [5, 7], [1 << 63, 0]], np.uint64)
+    order = suffix_dedup.multikey_quicksort(tokens, np.zeros(4, np.int64))
+    assert suffix_dedup.common_bytes(tokens, order, np.zeros(4, np.int64)).tolist() == [-1, 16, 8, 0]
+
+
+def brute_components(texts, percent):
+    """Smallest reachable number of each text, by all pairs."""
+    sets = [frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w := words((t or "").lower())) >= 5 else frozenset([tuple(w)] if w else []) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    where = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            where[g].append(i)
+    for i, s in enumerate(sets):
+        for j, n in collections.Counter(j for g in s for j in where[g] if j > i).items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in range(len(sets))}
+
+
+def test_near_duplicates_recall_on_documents(spark):
+    """All groups of sf0.01 by brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    want = brute_components([r.text for r in rows], 85)
+    got = {r.doc_id: r.component_id for r in queries()["op9_minhash_join"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {rows[i].doc_id: rows[k].doc_id for i, k in want.items()}
+
+
+def test_near_duplicates_of_equal_rows_and_null_ids(spark):
+    a = " ".join(f"a{i}" for i in range(80))
+    rows = [(1, a)] * 200 + [(None, a + f" end{i}") for i in range(150)] + [(None, "other words that stand alone here")]
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in minhash_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 1, True): 200, (None, 1, False): 150, (None, None, True): 1}
+
+
 def test_near_duplicates_against_brute_force(spark, odd, empty):
     rnd = np.random.default_rng(3)
     base = [f"w{i}" for i in rnd.integers(0, 500, 120)]
@@ -262,10 +381,39 @@ def test_candidates_need_collisions(spark):
     least = minhash_join.threshold_matches(0.85)
     sig = np.arange(minhash_join.M, dtype=np.uint32)
     other = [np.where(sig < k, sig, sig + 1000).astype(np.uint32) for k in (least, least - 1)]
-    one = np.arange(9, dtype=np.uint64).tobytes()
-    nodes = spark.createDataFrame([(i, bytearray(x.tobytes()), bytearray(one)) for i, x in enumerate((sig, *other))], "nid long, sig binary, elements binary")
+    nodes = spark.createDataFrame([(i, bytearray(x.tobytes()), 9) for i, x in enumerate((sig, *other))], "nid long, sig binary, n long")
     pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
-    assert [tuple(r) for r in minhash_join._confirm(pairs, nodes, 85).collect()] == [(0, 1)]
+    assert [tuple(r) for r in minhash_join._colliding(pairs, nodes, 85).collect()] == [(0, 1)]
+
+
+def test_merged_lists_count_all_collisions():
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 2**32, 64, dtype=np.uint64)
+    sig = np.array([np.where(rnd.random(64) < rnd.choice([0.05, 0.2, 0.5]), rnd.integers(0, 2**32, 64, dtype=np.uint64), base) for _ in range(120)]).astype(np.uint32)
+    comp, size, rows = rnd.integers(0, 40, 120), rnd.integers(90, 110, 120), np.arange(120)
+    for least in (1, 20, 45, 64):
+        fits = lambda i, j: (sig[i] == sig[j]).sum() >= least and comp[i] != comp[j] and abs(size[i] - size[j]) <= minhash_join.most_apart(size[i], size[j], 85)  # noqa: E731, B023
+        got = minhash_join.merge_lists(sig, comp, size, rows, rows, least, 85)
+        assert sorted(got) == [(i, j) for i in rows for j in rows if i < j and fits(i, j)]
+        got = minhash_join.merge_lists(sig, comp, size, rows[:50], rows[50:], least, 85)
+        assert sorted(got) == [(i, j) for i in rows[:50] for j in rows[50:] if fits(i, j)]
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_groups_that_share_lists_without_links(spark, monkeypatch, block):
+    """Two large groups of near copies, alike but below the threshold, and strays between: all by brute force."""
+    monkeypatch.setattr(minhash_join, "BLOCK", block)
+    rnd = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    other = [f"u{i}" if i % 20 == 0 else w for i, w in enumerate(base)]
+    texts = []
+    for i in range(120):
+        copy = list(base if i % 2 else other)
+        for j in rnd.integers(0, 300, int(rnd.integers(0, 7))):
+            copy[j] = f"v{rnd.integers(0, 50)}"
+        texts.append(" ".join(copy))
+    got = minhash_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(texts, 85)
 
 
 def test_near_duplicates_at_low_thresholds(spark):
@@ -282,17 +430,6 @@ def test_near_duplicates_at_low_thresholds(spark):
         minhash_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=5)
 
 
-def test_sketch_bounds_the_difference():
-    rnd = np.random.default_rng(5)
-    for n in (5, 100, 900):
-        a = rnd.integers(0, 2**63, n).astype(np.uint64)
-        b = np.concatenate([a[: n // 2], rnd.integers(0, 2**63, n // 3).astype(np.uint64)])
-        sa, sb = (minhash_join.sketch(x, minhash_join.sketch_words(n)) for x in (a, b))
-        apart = len(set(a.tolist()) ^ set(b.tolist()))
-        for w in (8, len(sa)):
-            assert np.bitwise_count(minhash_join.fold(sa, w) ^ minhash_join.fold(sb, w)).sum() <= apart
-
-
 def test_targets():
     assert cube_mix.targets({"b": 10, None: 10, "a": 10}) == {"a": 5.0, "b": 10.0, None: 15.0}
     got = cube_mix.targets({"a": 100, "b": 1, "c": 0})
