@@ -13,12 +13,15 @@ removed. Sorting every suffix of a corpus would shuffle each byte ``length`` tim
    suffixes of equal context are repeats of each other, a token that occurs once has none. One suffix of
    each context of the other tokens goes on; a token at the edge of a bucket, which may go on in the
    next, always does.
-3. Second sort, of those, by text: the same splitters by leading token and place. Each bucket sorts the texts
-   right of the anchors and the reversed texts left of them by multikey quicksort over tokens of eight
+3. Second sort, of those, by text: the same by leading token and the text right of the anchor. Each bucket
+   sorts the right texts and the reversed texts left of the anchors by multikey quicksort over tokens of eight
    bytes. Two strings with the anchor at offset d are equal if their neighbours in between have ``length - d``
    bytes in common in the one order and d in the other, which the bytes decide.
-4. Across boundaries: a bucket passes on one of each of the different strings of the tokens at its edges. These
-   are range-partitioned by fingerprint and neighbours from different buckets compared.
+4. Across boundaries: a string with the anchor at offset d has equals in other buckets only if it has ``length -
+   d`` bytes to the right in common with the first or last suffix of its bucket. Suffixes with such strings are
+   sorted once more, in the order of the left texts, and compared as before; of them only strings that have d bytes in
+   common with the first or last of that bucket are left, each different one once. Those are
+   range-partitioned by fingerprint and neighbours from different buckets compared.
 5. Spans are merged and cut from each document.
 
 Step 2 compares contexts and step 4 strings by 128-bit fingerprints (two bases). A bucket is read in pieces
@@ -226,20 +229,25 @@ def _texts(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, st
     return np.where(inside, data[np.where(inside, where, 0)], 0).astype(np.uint8).view(">u8").astype(np.uint64)
 
 
-def repeats_by_text(lead, at, lo, n, contexts: list[bytes], length: int):
-    """For each anchor offset d and class of equal strings: yields (d, rows in class order, class starts).
-
-    Rows are numbers of suffixes; those in ``lead`` of equal value are adjacent.
-    """
+def _sides(at, lo, n, contexts: list[bytes], length: int):
+    """Contexts end to end, the anchors' places there, and tokens of the texts right and left of them."""
     sizes = np.array([len(c) for c in contexts], np.int64)
     data = np.frombuffer(b"".join(contexts), np.uint8)
     anchor = np.cumsum(sizes) - sizes + at - lo
-    most, least = at - lo, at - lo - n + 1  # offsets of the anchor in its strings
+    right = _texts(data, anchor, length - (at - lo - n + 1), length, 1)
+    left = _texts(data, anchor - 1, at - lo, length - ANCHOR, -1)
+    return data, anchor, (right, left)
+
+
+def repeats_by_text(lead, at, lo, n, since, texts, length: int):
+    """For each anchor offset d the classes of equal strings: yields (d, rows in class order, where classes start).
+
+    Rows are numbers of suffixes; those of equal ``lead`` are adjacent. A row's strings begin at offset ``since``.
+    """
+    most, least = at - lo, np.maximum(at - lo - n + 1, since)  # offsets of the anchor in its strings
     run = _runs(lead)
-    right = _texts(data, anchor, length - least, length, 1)
-    left = _texts(data, anchor - 1, most, length - ANCHOR, -1)
-    orders = [multikey_quicksort(t, run) for t in (right, left)]
-    shared = [common_bytes(t, o, run) for t, o in zip((right, left), orders, strict=True)]
+    orders = [multikey_quicksort(t, run) for t in texts]
+    shared = [common_bytes(t, o, run) for t, o in zip(texts, orders, strict=True)]
     group = np.empty((2, len(run)), np.int64)
     for d in range(length - ANCHOR + 1):
         rows = np.flatnonzero((least <= d) & (d <= most))
@@ -255,48 +263,73 @@ def repeats_by_text(lead, at, lo, n, contexts: list[bytes], length: int):
         yield d, rows[order], new
 
 
-def _second_sort(suffixes: DataFrame, length: int, most: int) -> DataFrame:
-    """Spans of repeated strings of ``suffixes``, by text; and strings for the comparison across boundaries (f1 not null)."""
-    ranged = suffixes.repartitionByRange("lead", F.xxhash64("k1", "at")).sortWithinPartitions("lead")
-    ranged = ranged.select("k1", "k2", "lead", "at", "lo", "n", "done", "ctx")
-    names = ["k1", "k2", "lo", "hi", "f1", "f2", "done"]
+def _edges(tokens: np.ndarray, lead: np.ndarray, before: bool, after: bool) -> np.ndarray:
+    """Bytes that each row, in sorted order, has in common with what may stand before and after the piece; -1 if its token ends here."""
+    out = np.full(len(lead), -1, np.int64)
+    for edge, at in ((before, 0), (after, len(lead) - 1)):
+        if edge:
+            rows = np.flatnonzero(lead == lead[at])
+            common, open_ = np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
+            for k in range(tokens.shape[1]):
+                x = tokens[rows, k] ^ tokens[at, k]
+                common += open_ * sum((x < U(1 << 8 * j)).astype(np.int64) for j in range(8))
+                open_ &= x == 0
+            out[rows] = np.maximum(out[rows], common)
+    return out
+
+
+def _second_sort(suffixes: DataFrame, length: int, most: int, right: bool) -> DataFrame:
+    """Spans of repeated strings of ``suffixes``, by text, and what is to be compared across boundaries.
+
+    Buckets are in the order of the right texts or of the reversed left ones. What goes on are suffixes with
+    the offsets from which their strings do (``since``), or, after the left order, strings (``f1``, ``f2``).
+    """
+    side = F.substring("ctx", F.col("at") - F.col("lo") + 1, F.lit(length)) if right else F.col("rev")
+    ranged = suffixes.repartitionByRange("lead", side, F.xxhash64("k1", "at")).sortWithinPartitions("lead", side)
+    ranged = ranged.select("k1", "k2", "lead", "at", "lo", "n", "done", "since", "ctx")
+    far = length - ANCHOR
+    names = ["k1", "k2", "lo", "hi"] + (["lead", "at", "n", "done", "since", "ctx", "rev"] if right else ["f1", "f2", "done"])
+    more = "lead long, at int, n int, done boolean, since int, ctx binary, rev binary" if right else "f1 long, f2 long, done boolean"
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()] if right else [pa.int64(), pa.int64(), pa.bool_()]
+
+    def row(table, rows, *columns):
+        pick = table.take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([pick.column(0).combine_chunks(), pick.column(1).combine_chunks(), *columns], names=names)
 
     def run(batches):
         for table, before, after in _pieces(batches, 2, lambda b: b.nbytes, most):
             lead, at, lo, n = (table.column(i).to_numpy().astype(np.int64) for i in range(2, 6))
             done = table.column(6).to_numpy(zero_copy_only=False)
-            contexts = table.column(7).to_pylist()
-            edge = np.zeros(len(lead), bool)  # tokens that may go on in other pieces
-            if before:
-                edge |= lead == lead[0]
-            if after:
-                edge |= lead == lead[-1]
-            hit = np.zeros((len(lead), length - ANCHOR + 3), bool)  # a place's string d is column length - ANCHOR - d + 1
+            since, contexts = table.column(7).to_numpy().astype(np.int64), table.column(8).to_pylist()
+            data, anchor, texts = _sides(at, lo, n, contexts, length)
+            common = _edges(texts[0 if right else 1], lead, before, after)
+            hit = np.zeros((len(lead), far + 3), bool)  # a place's string d is column far - d + 1
             passed = []
-            for d, rows, new in repeats_by_text(lead, at, lo, n, contexts, length):
+            for d, rows, new in repeats_by_text(lead, at, lo, n, since, texts, length):
                 again = ~(new & np.append(new[1:], True))
-                hit[rows[again & ~done[rows]], length - ANCHOR - d + 1] = True
-                one = np.flatnonzero(new & edge[rows])
-                if len(one):
+                hit[rows[again & ~done[rows]], far - d + 1] = True
+                if not right:
+                    one = np.flatnonzero(new & (common[rows] >= d))
                     passed.append((rows[one], np.full(len(one), d), again[one] | done[rows[one]]))
             step = np.diff(hit.astype(np.int8), axis=1)
-            (row, s), (_, e) = np.nonzero(step == 1), np.nonzero(step == -1)
-            # column c + 1 is the string that starts length - ANCHOR - c bytes before the anchor
-            low, high = at[row] - (length - ANCHOR) + s, at[row] - (length - ANCHOR) + e - 1 + length
-            pick = table.take(pa.array(row))
-            blank = pa.nulls(len(row), pa.int64())
-            yield pa.RecordBatch.from_arrays([pick.column(0).combine_chunks(), pick.column(1).combine_chunks(), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), blank, blank, pa.array(np.ones(len(row), bool))], names=names)
-            if passed:
-                rows, d, settled = (np.concatenate(x) for x in zip(*passed, strict=True))
-                sizes = np.array([len(c) for c in contexts], np.int64)
-                data = np.frombuffer(b"".join(contexts), np.uint8)
-                start = (np.cumsum(sizes) - sizes + at - lo)[rows] - d
+            (i, s), (_, e) = np.nonzero(step == 1), np.nonzero(step == -1)
+            # column c + 1 is the string that starts far - c bytes before the anchor
+            low, high = (at[i] - far + s).astype(np.int32), (at[i] - far + e - 1 + length).astype(np.int32)
+            yield row(table, i, pa.array(low), pa.array(high), *(pa.nulls(len(i), k) for k in kinds))
+            if right:
+                start = np.maximum(length - common, at - lo - n + 1)
+                i = np.flatnonzero((common >= 0) & (start <= at - lo))
+                rev = [contexts[j][: at[j] - lo[j]][::-1] for j in i.tolist()]
+                pick = table.take(pa.array(i))
+                yield row(table, i, pick.column(4).combine_chunks(), pa.nulls(len(i), pa.int32()), *(pick.column(j).combine_chunks() for j in (2, 3, 5, 6)), pa.array(start[i].astype(np.int32)), pick.column(8).combine_chunks(), pa.array(rev, pa.binary()))
+            elif passed:
+                i, d, settled = (np.concatenate(x) for x in zip(*passed, strict=True))
+                start = anchor[i] - d
                 f1, f2 = (mix(p.of(start, start + length)) for p in (Prefix(data), Prefix(data, TABLE_2, BASE_2)))
-                low = (at[rows] - d).astype(np.int32)
-                pick = table.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pick.column(0).combine_chunks(), pick.column(1).combine_chunks(), pa.array(low), pa.array(low + np.int32(length)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(settled)], names=names)
+                low = (at[i] - d).astype(np.int32)
+                yield row(table, i, pa.array(low), pa.array(low + np.int32(length)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(settled))
 
-    return ranged.mapInArrow(tidy(run), f"{KEY}, lo int, hi int, f1 long, f2 long, done boolean")
+    return ranged.mapInArrow(tidy(run), f"{KEY}, lo int, hi int, {more}")
 
 
 def _across(strings: DataFrame) -> DataFrame:
@@ -336,12 +369,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each = places.where("on").groupBy("k1", "k2").agg(F.collect_set(F.struct("lead", "at", "lo", "n", "done")).alias("s"))
     texts = _keyed(docs, id_col, text_col).join(each, ["k1", "k2"]).select("k1", "k2", F.encode("_t", "UTF-8").alias("b"), F.explode("s").alias("s"))
     context = F.substring("b", F.col("s.lo") + 1, F.col("s.n") + length - 1)
-    suffixes = written(texts.select("k1", "k2", "s.*", context.alias("ctx")), "suffix-contexts")
-    by_text = written(_second_sort(suffixes, length, piece_bytes), "suffix-spans")
+    suffixes = written(texts.select("k1", "k2", "s.*", F.lit(0).alias("since"), context.alias("ctx")), "suffix-contexts")
+    by_right = written(_second_sort(suffixes, length, piece_bytes, True), "suffix-right")
     forget(suffixes)
-    across = _across(by_text.where("f1 is not null"))
-    first = places.where("done").select("k1", "k2", "lo", (F.col("lo") + F.col("n") + length - 1).alias("hi"))
-    return first.unionByName(by_text.where("f1 is null").select("k1", "k2", "lo", "hi")).unionByName(across)
+    by_left = written(_second_sort(by_right.where("ctx is not null"), length, piece_bytes, False), "suffix-left")
+    across = _across(by_left.where("f1 is not null"))
+    spans = places.where("done").select("k1", "k2", "lo", (F.col("lo") + F.col("n") + length - 1).alias("hi"))
+    for more in (by_right.where("ctx is null"), by_left.where("f1 is null"), across):
+        spans = spans.unionByName(more.select("k1", "k2", "lo", "hi"))
+    return spans
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
