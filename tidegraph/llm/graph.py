@@ -1,15 +1,17 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is two aggregations and a join on small rows; nothing is collected but counts. The number
-of steps grows with the logarithm of the largest component. Lineage is cut by written tables.
+Every step is two aggregations and a join on small rows, then each partition contracts what edges it has;
+nothing is collected but counts. The number of steps grows with the logarithm of the largest component.
+Lineage is cut by written tables.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, tidy, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,14 +29,49 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _local(edges: DataFrame, most: int = 200_000) -> DataFrame:
+    """The same components with fewer edges: each piece of ``most`` edges becomes stars around its smallest nodes."""
+
+    def stars(a: list[int], b: list[int]) -> pa.RecordBatch:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while (up := parent.setdefault(root, root)) != root:
+                root = up
+            while x != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        for x, y in zip(a, b, strict=True):
+            x, y = find(x), find(y)
+            parent[max(x, y)] = min(x, y)
+        ends = [(x, r) for x in list(parent) if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        a, b = [], []
+        for batch in batches:
+            a += batch.column(0).to_pylist()
+            b += batch.column(1).to_pylist()
+            if len(a) >= most:
+                yield stars(a, b)
+                a, b = [], []
+        if a:
+            yield stars(a, b)
+
+    return edges.select("a", "b").mapInArrow(tidy(run), "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Columns ``node`` and ``root`` (the component's smallest node) for every node that has an edge."""
-    at = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    at = written(_local(edges.where("a <> b")), "edges")
     mark = None
     while True:
-        at = written(_star(_star(at, True), False), "edges")
+        was, at = at, written(_local(_star(_star(at, True), False)), "edges")
+        forget(was)
         now = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -4,7 +4,7 @@
    sets are one class; all later work is on classes.
 2. A class of which fewer than ``screen_least`` of ``SCREEN`` signature coordinates occur elsewhere has
    no partner (chance of error below 1e-5 at any threshold, below 1e-8 at 0.85) and is done. At thresholds
-   too low for such a count no class is screened; below 7 % the join itself is not safe and is refused.
+   too low for such a count no class is screened; below 13 % the join itself is not safe and is refused.
 3. The rest get ``M`` coordinates and are posted under coordinate-value pairs. Two sets at the threshold
    collide in at least ``T`` of ``M`` coordinates (error below 1e-7 a pair), so with the values in order
    of rising frequency they meet under one of each one's first ``M - T + 1`` (the prefix); a frequent
@@ -15,7 +15,8 @@
    the lists whose members are still in different components: a member merges the lists of its rarest
    ``M - T + 1`` coordinates, which gives counts; members whose count cannot reach ``T`` any more are
    skipped, and the long lists of the other coordinates are probed for the rest. Pairs of ``T`` collisions in
-   different components are confirmed.
+   different components are confirmed where they meet, on the full sets as bit sets of the block's shingles, and
+   a block returns a spanning forest of its links: rows are in proportion to members, not to pairs.
 5. Components of the confirmed links name the groups.
 
 Nothing is capped: a long list becomes pairs of blocks of about ``BLOCK``, but for pairs inside one component, and
@@ -41,7 +42,7 @@ from .common import forget, free_name, small_batches, tidy, written
 from .graph import components
 from .rolling import LOWER, Prefix, U, mix, text_chunks
 
-SCREEN, SCREEN_LEAST, M = 32, 13, 256
+SCREEN, SCREEN_LEAST, M = 32, 13, 128
 BLOCK = 1024
 _rng = np.random.default_rng(7)
 _MULT = _rng.integers(1, 2**63, M, dtype=np.uint64) * U(2) + U(1)
@@ -232,8 +233,57 @@ def merge_lists(sig: np.ndarray, comp: np.ndarray, size: np.ndarray, left: np.nd
     return out
 
 
-def _merged(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs with enough collisions of the posting lists (token, nid), whose ends differ in ``comp``.
+def linked(pairs: np.ndarray, elements: list[np.ndarray], percent: int, slab: int = 1 << 16) -> np.ndarray:
+    """True for those of ``pairs`` (rows) whose full sets reach the similarity.
+
+    Shingles that several rows have are numbered, and rows are bit sets of ``slab`` numbers at a time.
+    """
+    size = np.array([len(e) for e in elements], np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    flat = np.concatenate(elements) if len(elements) else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    shared = ~(new & np.append(new[1:], True))
+    owner, number = owner[shared], np.cumsum(new[shared]) - 1
+    inter = np.zeros(len(pairs), np.int64)
+    top = int(number[-1]) + 1 if len(number) else 0
+    for low in range(0, top, slab):
+        i, j = np.searchsorted(number, (low, low + slab))
+        width = min(slab, top - low)
+        cells = np.zeros((len(size), -(-width // 64) * 64), bool)
+        cells[owner[i:j], number[i:j] - low] = True
+        bits = np.packbits(cells, axis=1).view(np.uint64)
+        step = max(1, (1 << 21) // bits.shape[1])
+        for at in range(0, len(pairs), step):
+            a, b = pairs[at : at + step, 0], pairs[at : at + step, 1]
+            inter[at : at + step] += np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
+    union = size[pairs[:, 0]] + size[pairs[:, 1]] - inter
+    return 100 * inter >= percent * union
+
+
+def forest(pairs: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Those of ``pairs`` (rows) that join components not yet joined by earlier ones."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    keep = []
+    for k, (a, b) in enumerate(zip(comp[pairs[:, 0]].tolist(), comp[pairs[:, 1]].tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            parent[a] = b
+            keep.append(k)
+    return pairs[keep]
+
+
+def _merged(lists: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, ...]:
+    """Links between components that the posting lists (token, nid) hold, enough for all; and the tables they come from.
 
     Components with over ``BLOCK`` members in a list have blocks of their own, which do not meet each other.
     """
@@ -248,8 +298,8 @@ def _merged(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     pairs = blocks.withColumnRenamed("block", "lo").join(blocks.withColumnRenamed("block", "hi"), "token").where((F.col("lo") <= F.col("hi")) & apart)
     pairs = written(pairs, "minhash-block-pairs")
     sides = [placed.join(pairs.withColumn("block", F.col(x)).where(F.lit(x == "lo") | (F.col("lo") != F.col("hi"))), ["token", "block"]) for x in ("lo", "hi")]
-    dealt = sides[0].unionByName(sides[1]).join(nodes.select("nid", "n", "comp", "sig"), "nid")
-    dealt = dealt.select("token", F.xxhash64("lo").alias("a"), F.xxhash64("hi").alias("b"), (F.col("block") == F.col("lo")).alias("left"), (F.col("block") == F.col("hi")).alias("right"), "nid", "comp", "n", "sig")
+    dealt = sides[0].unionByName(sides[1]).join(nodes.select("nid", "comp", "sig", "elements"), "nid")
+    dealt = dealt.select("token", F.xxhash64("lo").alias("a"), F.xxhash64("hi").alias("b"), (F.col("block") == F.col("lo")).alias("left"), (F.col("block") == F.col("hi")).alias("right"), "nid", "comp", "sig", "elements")
     dealt = dealt.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "nid")
     least = threshold_matches(percent / 100)
 
@@ -259,13 +309,14 @@ def _merged(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         def close():
             if len({r[3] for r in held}) < 2:
                 return None
-            left, right, nid, comp, n, sig = zip(*held, strict=True)
-            nid = np.array(nid)
+            left, right, nid, comp, sig, sets = zip(*held, strict=True)
+            nid, comp = np.array(nid), np.array(comp)
+            sets = [np.frombuffer(x, np.uint64) for x in sets]
             table = np.frombuffer(b"".join(sig), np.uint32).reshape(-1, M)
-            pairs = merge_lists(table, np.array(comp), np.array(n), np.flatnonzero(left), np.flatnonzero(right), least, percent)
-            if not pairs:
-                return None
-            ends = np.sort(nid[np.array(pairs)], axis=1)
+            pairs = merge_lists(table, comp, np.array([len(x) for x in sets]), np.flatnonzero(left), np.flatnonzero(right), least, percent)
+            pairs = np.array(pairs, np.int64).reshape(-1, 2)
+            pairs = forest(pairs[linked(pairs, sets, percent)], comp)
+            ends = np.sort(nid[pairs], axis=1)
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -279,12 +330,7 @@ def _merged(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         if held and (out := close()) is not None:
             yield out
 
-    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
-
-
-def collisions(a: bytes, b: bytes) -> int:
-    """Coordinates in which two signatures are equal."""
-    return int((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).sum())
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct(), placed, pairs
 
 
 def _colliding(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -324,8 +370,8 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``."""
-    if not 7 <= percent <= 100:
-        raise ValueError("percent must be from 7 to 100: below, pairs at the threshold may collide nowhere")
+    if not 13 <= percent <= 100:
+        raise ValueError("percent must be from 13 to 100: below, pairs at the threshold may collide nowhere")
     about = written(_describe(docs, id_col, text_col, width), "minhash-docs")
     classes = written(about.where("key is not null").groupBy("key").agg(F.min(id_col).alias("rep"), F.min(F.struct("k1", "k2")).alias("row"), F.first("sig").alias("sig")), "minhash-classes")
     wanted, least = classes.select("row.k1", "row.k2"), screen_least(percent / 100)
@@ -349,6 +395,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = posted.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("nid").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("x"), lead.alias("l")).where("c > 1")
     once = lists.groupBy("c", "s", "x").agg(F.min(F.struct("token", "l.lead")).alias("t"))  # equal lists are looked at once
     lists = written(posted.join(once.select("t.token", "t.lead", "c"), "token"), "minhash-lists")
+    forget(posted)
 
     star = lists.where("nid <> lead").select(F.least("nid", "lead").alias("a"), F.greatest("nid", "lead").alias("b")).distinct()
     links = written(_confirm(_colliding(star, nodes, percent), nodes, percent), "minhash-links")
@@ -356,11 +403,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     merged = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid"))
     # of a list of two the only pair has been counted
     open_ = lists.where("c > 2").join(merged.select("nid", "comp"), "nid").groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    left = written(lists.join(open_, "token", "left_semi").select("token", "nid"), "minhash-lists")
+    left = written(lists.join(open_, "token", "left_semi").select("token", "nid"), "minhash-open-lists")
+    forget(lists)
     if not left.isEmpty():
-        more = written(_confirm(_merged(left, merged, percent), nodes, percent), "minhash-links")
+        found, *tables = _merged(left, merged, percent)
+        more = written(found, "minhash-links")
+        forget(*tables)
         if not more.isEmpty():
-            roots = components(links.unionByName(more))
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    forget(left)
 
     named = nodes.select("key", F.col("nid").alias("node")).join(roots, "node")
     by_class = classes.select("key", "rep").join(named.select("key", "root"), "key", "left")
