@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import running
+
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 FOREIGN = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 MARK = "\u241b"
@@ -46,22 +48,6 @@ def _quoted(x: str) -> str:
     return rf"\Q{x}\E"
 
 
-def running(sizes: Column) -> Column:
-    """The sum of all earlier elements, for each element of an array of int.
-
-    In pieces of the square root of the array's size: an aggregate that grows an array copies it at each step.
-    """
-    each = F.ceil(F.sqrt(F.size(sizes))).cast("int")
-    pieces = F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(1), F.size(sizes), each), lambda i: F.slice(sizes, i, each))).otherwise(F.array().cast("array<array<int>>"))
-
-    def before(xs: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
-        return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all")), lambda acc: acc["all"])
-
-    totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x))
-    return F.flatten(F.zip_with(pieces, before(totals), lambda p, start: F.transform(before(p), lambda x: x + start)))
-
-
 def _parts(blocks: Column) -> Column:
     """One struct for each text in order: code points of the text, of what precedes it since the last, and its mask."""
 
