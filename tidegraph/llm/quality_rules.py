@@ -4,7 +4,8 @@ Each rule votes good (1), bad (-1) or abstains (0) on a document's statistics. T
 are not given: expectation-maximisation over the counts of vote patterns of all documents estimates
 them, and a document is kept by its posterior probability of being good instead of having to pass
 all rules. Pass 1 counts patterns (each task sends its distinct patterns, at most 3 to the number of
-rules in all); pass 2 scores. Neither shuffles texts.
+rules in all); pass 2 scores. Neither shuffles texts. ``counted`` makes the statistics, which can be written
+once for both passes.
 
 Defined results: null text has no words; texts that fail the base rules are never kept; an empty
 table gives an empty result; repeated rows are judged alike; extra columns pass through.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, tidy
+from .common import small_batches, tidy, written
 from .textstats import NAMES, stats_table
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -104,48 +105,78 @@ def fit_em(patterns: dict[bytes, int], n_rules: int, steps: int = 300, tol: floa
     return model
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> LabelModel:
-    """The label model of all rows of ``docs``."""
+_STATS = "_stats_of_rules"
+
+
+def counted(docs: DataFrame, text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
+    """``columns`` of ``docs`` and, last, an array of the counts of NAMES for every whole text."""
+    columns = tuple(columns)
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(_STATS, T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for b in batches:
+            table = stats_table(b.column(0).to_pylist()).astype(np.int64)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * len(NAMES)), pa.array(table.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], flat], names=schema.fieldNames())
+
+    return docs.select(F.col(text_col).alias("_text_of_rules"), *columns).mapInArrow(tidy(run), schema)
+
+
+def _table(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64)
+
+
+def learn_counted(rows: DataFrame) -> LabelModel:
+    """The label model of all rows of a table of ``counted``."""
 
     def count(batches):
         seen: Counter = Counter()
         for b in batches:
-            seen.update(x.tobytes() for x in votes(stats_table(b.column(0).to_pylist())))
+            seen.update(x.tobytes() for x in votes(_table(b.column(0))))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
-    found = docs.select(F.col(text_col)).mapInArrow(tidy(count), "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    found = rows.select(_STATS).mapInArrow(tidy(count), "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     return fit_em({bytes(r.pattern): r.n for r in found}, len(RULES))
 
 
-def judge(docs: DataFrame, model: LabelModel, text_col: str = "text", columns: tuple[str, ...] = (), only_kept: bool = False, least_words: int = 10, most_repeated: int = 20, threshold: float = 0.5) -> DataFrame:
-    """``columns`` of ``docs`` with the base counts, ``base_failed``, ``quality_probability`` and ``kept``.
+def judge_counted(rows: DataFrame, model: LabelModel, only_kept: bool = False, least_words: int = 10, most_repeated: int = 20, threshold: float = 0.5) -> DataFrame:
+    """The columns of a table of ``counted`` with the base counts, ``base_failed``, ``kept`` and ``quality_probability``.
 
-    With ``only_kept`` the rejected rows go and only ``columns`` return.
+    With ``only_kept`` the rejected rows go and nothing is added.
     """
-    columns = tuple(columns) or tuple(docs.columns)
+    own = [c for c in rows.columns if c != _STATS]
     added = T.StructType().add("n_words", "long").add("word_chars", "long").add("n_symbols", "long").add("n_dup_lines", "long").add("n_repeat_words", "long").add("base_failed", "boolean").add("kept", "boolean").add("quality_probability", "double")
-    schema = docs.select(*columns).schema if only_kept else T.StructType([*docs.select(*columns).schema.fields, *added.fields])
+    schema = T.StructType([*rows.select(*own).schema.fields, *([] if only_kept else added.fields)])
     names = schema.fieldNames()
 
     def run(batches):
         for b in batches:
-            table = stats_table(b.column(0).to_pylist())
+            table = _table(b.column(0))
             c = {k: table[:, NAMES.index(k)].astype(np.int64) for k in BASE}
             failed = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > most_repeated * c["n_words"])
             p = model.posterior(votes(table))
             kept = ~failed & (p >= threshold)
-            own = b.columns[1:]
             if only_kept:
-                yield pa.RecordBatch.from_arrays(own, names=names).filter(pa.array(kept))
+                yield pa.RecordBatch.from_arrays(b.columns[1:], names=names).filter(pa.array(kept))
             else:
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c[k]) for k in BASE), pa.array(failed), pa.array(kept), pa.array(p)], names=names)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c[k]) for k in BASE), pa.array(failed), pa.array(kept), pa.array(p)], names=names)
 
-    return docs.select(F.col(text_col).alias("_text_of_rules"), *columns).mapInArrow(tidy(run), schema)
+    return rows.select(_STATS, *own).mapInArrow(tidy(run), schema)
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> LabelModel:
+    return learn_counted(counted(docs, text_col))
+
+
+def judge(docs: DataFrame, model: LabelModel, text_col: str = "text", columns: tuple[str, ...] = (), **how) -> DataFrame:
+    """``judge_counted`` for documents; ``columns``: those to keep, all by default."""
+    return judge_counted(counted(docs, text_col, tuple(columns) or tuple(docs.columns)), model, **how)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs, learn(docs), columns=("doc_id",))
+    rows = written(counted(docs, columns=("doc_id",)), "rule-counts")  # texts are gone through once
+    return judge_counted(rows, learn_counted(rows))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
