@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegraph.llm import bpe_replay, cube_mix, minhash_join, quality_rules, secret_scan
-from tidegraph.llm.common import ship, written
+from tidegraph.llm.common import forget, ship, written
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
@@ -25,7 +25,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(*before)  # what the stage has read
+        before = [docs]
     return docs
