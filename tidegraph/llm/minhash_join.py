@@ -402,7 +402,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
     merged = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid"))
     # of a list of two the only pair has been counted
-    open_ = lists.where("c > 2").join(merged.select("nid", "comp"), "nid").groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    open_ = written(lists.where("c > 2").join(merged.select("nid", "comp"), "nid").groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token"), "minhash-open")  # so that a frequent value's join can be split
     left = written(lists.join(open_, "token", "left_semi").select("token", "nid"), "minhash-open-lists")
     forget(lists)
     if not left.isEmpty():
