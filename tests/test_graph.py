@@ -1,5 +1,6 @@
 """Patterns, windows, parser, comparison and streaming, on the modular fixture and against a model."""
 
+import collections
 import random
 
 import duckdb
@@ -10,7 +11,7 @@ import tidegraph.queries as registered
 from tidegraph.functions import compare
 from tidegraph.operators.windows import TimeWindow
 from tidegraph.plans import ParseError, parse
-from tidegraph.sources import generate, read_ntriples, write_ntriples
+from tidegraph.sources import events_view, generate, read_ntriples, write_ntriples
 from tidegraph.streaming import StreamEngine
 
 DATA = "/root/testdata/sf0.001"
@@ -87,15 +88,15 @@ def test_windows_against_model(spark):
         w, s = rnd.choice([(10000, 5000), (5000, 5000), (3000, 5000), (7000, 2000)])
         df = spark.createDataFrame([(x, i) for i, x in enumerate(ts)], "ts_ms long, seq long")
         for policy in ("reference", "always", "never"):
-            got = sorted((r.win_id, r.seq) for r in TimeWindow(w, s, policy).assign(df, df).collect())
+            got = sorted((r.win_id, r.seq) for r in TimeWindow(w, s, policy).prepare(df)(df).collect())
             assert got == model_event(ts, w, s, policy), (ts, w, s, policy)
-        got = sorted((r.win_id, r.seq) for r in TimeWindow(w, s, mode="arrival").assign(df, df).collect())
+        got = sorted((r.win_id, r.seq) for r in TimeWindow(w, s, mode="arrival").prepare(df)(df).collect())
         assert got == model_arrival(ts, w, s), (ts, w, s)
 
 
 def test_gap_fixture_lags_in_arrival_mode(spark):
     df = spark.createDataFrame([(t * 1000, i) for i, t in enumerate((1, 50, 51, 52))], "ts_ms long, seq long")
-    got = TimeWindow(10000, 10000, mode="arrival").assign(df, df).collect()
+    got = TimeWindow(10000, 10000, mode="arrival").prepare(df)(df).collect()
     assert sorted((r.win_id, r.ts_ms) for r in got) == [(0, 1000), (1, 50000), (2, 50000), (2, 51000)]
 
 
@@ -168,28 +169,103 @@ def test_lines_round_trip(spark, tmp_path):
     assert [(r.s, r.p, r.o, r.ts_ms, r.seq) for r in back.orderBy("seq").collect()] == [(*x, i) for i, x in enumerate(rows)]
 
 
-def test_streaming_equals_batch(spark, engine, tmp_path):
-    folder, got = tmp_path / "in", []
-    generate.modular(spark, 21, 7).select("s", "p", "o", "ts_ms", "seq").coalesce(1).write.parquet(str(folder))
-    live = spark.readStream.schema("s string, p string, o string, ts_ms long, seq long").parquet(str(folder))
-    for i, window in enumerate(("10s STEP 5s", "5s TUMBLING", "3s STEP 5s", "TRIPLES 8")):
+@pytest.mark.parametrize("window", ["10s STEP 5s", "5s TUMBLING", "3s STEP 5s", "TRIPLES 8"])
+@pytest.mark.parametrize("files", [1, 3])
+def test_streaming_equals_batch(spark, engine, tmp_path, window, files):
+    """In one batch or many; windows that close later or at the end come with ``flush``."""
+    body, got = "?s ?p ?o . ?o ?q ?z FILTER ( ?s != <http://example.org/int/1> )", []
+    rows = generate.modular(spark, 21, 7).select("s", "p", "o", "ts_ms", "seq")
+    for k in range(files):
+        rows.where(F.expr(f"seq * {files} div 21 = {k}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for policy in ("never", "always", "reference"):
         got.clear()
         e = StreamEngine(spark)
         e.register_stream("<s>", live)
-        e.register_query("q", q("?s ?p ?o . ?o ?q ?z", window), final_partial="never")
-        run = e.start("q", lambda df, n: got.extend(map(tuple, df.collect())), 1000, str(tmp_path / f"check{i}"), trigger={"availableNow": True})
-        run.awaitTermination(120)
-        want = [tuple(r) for r in engine.sql(q("?s ?p ?o . ?o ?q ?z", window), final_partial="never").collect()]
-        want = [r for r in want if not window.startswith("TRIPLES") or r[0] < 2]  # the open count window is not reported
-        assert sorted(got) == sorted(want), window
+        e.register_query("q", q(body, window), final_partial=policy)
+        sink, where = (lambda df, n: got.extend(map(tuple, df.collect()))), str(tmp_path / policy)
+        e.start("q", sink, 1000, where, trigger={"availableNow": True}).awaitTermination(120)
+        closed = list(got)
+        e.flush("q", sink, 1000, where)
+        want = [tuple(r) for r in engine.sql(q(body, window), final_partial=policy).collect()]
+        assert sorted(got) == sorted(want), policy
+        if not window.startswith("TRIPLES"):
+            assert sorted(closed) == sorted(tuple(r) for r in engine.sql(q(body, window), final_partial="never").collect())
+
+
+def test_streaming_keeps_what_patterns_can_match(spark, tmp_path):
+    """A window of many rows is read from files by several tasks; other triples are not kept."""
+    rows = spark.range(60_000).selectExpr("concat('<s', id, '>') s", "if(id % 3 = 0, '<p>', '<other>') p", "concat('<o', id % 5, '>') o", "id ts_ms", "id seq")
+    for k in range(4):
+        rows.where(f"id div 15000 = {k}").repartition(4).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    e, found = StreamEngine(spark), []
+    e.register_stream("<s>", live)
+    e.register_query("q", "SELECT * FROM STREAM <s> RANGE 50s TUMBLING WHERE { ?a <p> <o1> } ")
+    sink = lambda df, n: found.append((df.count(), df.rdd.getNumPartitions()))
+    e.start("q", sink, 0, str(tmp_path / "c"), trigger={"availableNow": True}).awaitTermination(120)
+    e.flush("q", sink, 0, str(tmp_path / "c"))
+    assert [n for n, _ in found] == [sum(i % 15 == 6 for i in range(50_000)), sum(i % 15 == 6 for i in range(50_000, 60_000))] and found[0][1] > 1
+    assert spark.read.parquet(str(tmp_path / "c" / "kept" / "0")).where("p <> '<p>' or o <> '<o1>'").count() == 0
+
+
+def scan_filters(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return " ".join(x for x in plan.split("\n") if "PushedFilters" in x), plan
 
 
 def test_constants_reach_the_scan(spark):
-    triples = spark.createDataFrame([], "s string, p string, o string, ts_ms long, seq long")
     e = StreamEngine(spark)
-    e.register_stream("<s>", triples)
-    plan = e.match(q("?s :2 ?o . ?o :3 ?z"))._jdf.queryExecution().optimizedPlan().toString()
-    assert "Cartesian" not in plan
+    e.register_stream("<http://ex/stream>", events_view(spark, DATA))
+    text = lambda body: f"PREFIX ex: <http://ex/> SELECT * FROM STREAM <http://ex/stream> RANGE 1d TUMBLING WHERE {{ {body} }} "
+    filters, _ = scan_filters(e.sql(text("<http://ex/event/5> ?p ?o")))
+    assert "EqualTo(event_id,5)" in filters
+    filters, plan = scan_filters(e.sql(text("?s ex:type <http://ex/type/error>")))
+    assert "EqualTo(event_type,error)" in filters and "Generate" not in plan and "user_id" not in plan
+    assert "EqualTo(user_id,7)" in scan_filters(e.match(text("?s ?p <http://ex/user/7>")))[0]
+    for nothing in ("?s ex:user <http://ex/user/07>", "?s ex:user <http://ex/type/7>", "?s ex:none ?o", "<http://ex/event/x> ?p ?o", '?s ex:value "x"'):
+        assert e.match(text(nothing)).count() == 0
+
+
+def test_stars_on_a_key_are_one_pass(spark):
+    e, plain = StreamEngine(spark), StreamEngine(spark)
+    e.register_stream("<http://ex/stream>", events_view(spark, DATA))
+    plain.register_stream("<http://ex/stream>", events_view(spark, DATA).match())
+    text = lambda body, w="2d STEP 1d": f"PREFIX ex: <http://ex/> SELECT * FROM STREAM <http://ex/stream> RANGE {w} WHERE {{ {body} }} "
+    for body, joins in (("?e ex:type ?t . ?e ex:user ?u . ?e ex:value ?v", 0), ("?e ex:type <http://ex/type/error> . ?e ex:user ?u", 0), ("?e ex:user ?u . ?f ex:user ?u . ?e ex:type ?t . ?f ex:type ?t", 1), ("?e ex:user ?u . ?e ex:user ?v", 1), ("?e ex:user ?u . ?e ex:type ?u", 0), ("?e ex:user ?u . ?e ex:none ?v", 0)):
+        got = e.sql(text(body))
+        assert scan_filters(got)[1].count("Join") == joins, body
+        assert collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, plain.sql(text(body)).collect())), body
+    body = "?e ex:type ?t . ?e ex:user ?u"  # count windows can fall between the facts of a row
+    assert sorted(map(tuple, e.sql(text(body, "TRIPLES 7")).collect())) == sorted(map(tuple, plain.sql(text(body, "TRIPLES 7")).collect()))
+
+
+def test_windows_are_read_once_a_query(spark, monkeypatch):
+    e, calls = StreamEngine(spark), []
+    e.register_stream("<http://ex/stream>", events_view(spark, DATA))
+    kind = type(spark.range(1))
+    for name in ("first", "collect"):
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name), **b: calls.append(1) or f(self, *a, **b))
+    for mode, most in (("event", 1), ("arrival", 2)):
+        calls.clear()
+        e.sql("PREFIX ex: <http://ex/> SELECT * FROM STREAM <http://ex/stream> RANGE 1d TUMBLING WHERE { ?e ex:type ?t . ?f ex:user ?u . ?e ex:value ?v } ", mode=mode)
+        assert sum(calls) <= 2 * most, calls  # first() calls collect() inside
+
+
+def test_workloads_keep_their_promises(spark):
+    for make, hits in ((lambda: generate.select_workload(spark, 30, 500, 3, 50), {"o": 30}), (lambda: generate.join_workload(spark, 30, 500, 40, 3), {"o": 30, "s": 30}), (lambda: generate.random_triples(spark, 500, 8, 3), {})):
+        rows = make().collect()
+        assert len(rows) == len({(r.s, r.p, r.o) for r in rows}) == 500 and sorted(r.seq for r in rows) == list(range(500)) and all(r.ts_ms == (r.seq + 1) * 1000 for r in rows)
+        assert sum(r.o == "<http://example.org/int/90001>" for r in rows) == hits.get("o", 0) and sum(r.s == "<http://example.org/int/80001>" for r in rows) == hits.get("s", 0)
+        assert len({r.p for r in rows}) <= 50  # predicates are drawn like the rest
+    with pytest.raises(ValueError):
+        generate.random_triples(spark, 28, 3, 1)
+
+
+def test_time_in_seconds(spark, tmp_path):
+    write_ntriples(spark.createDataFrame([("<a>", "<p>", "<b>", 7000)], "s string, p string, o string, ts_ms long"), str(tmp_path / "t"), unit="s")
+    assert [(r.ts_ms, r.ts.timestamp()) for r in read_ntriples(spark, str(tmp_path / "t"), unit="s").collect()] == [(7000, 7.0)]
+    assert read_ntriples(spark, str(tmp_path / "t")).first().ts_ms == 7
 
 
 @pytest.mark.parametrize("name", sorted(registered.queries()))

@@ -7,6 +7,7 @@ side can be unbound a plain equality is used, which gives Spark the cheaper keys
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import reduce
 
@@ -23,25 +24,49 @@ def column(term: str) -> str:
     return term[1:] if term[0] == "?" else term.replace(":", "")
 
 
-def pattern(triples: DataFrame, terms: tuple[str, str, str], window: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def pattern(triples, terms: tuple[str, str, str], window: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Triples that match the constants, one column a variable; ``window`` comes after the filter.
 
-    A variable that occurs twice asks for equality; no variable at all gives one row a match.
+    ``triples``: a DataFrame, or a view that finds its rows by the constants. A variable that occurs
+    twice asks for equality; no variable at all gives one row a match.
     """
     found: dict[str, str] = {}
     test = []
+    view = not isinstance(triples, DataFrame)
     for place, term in zip("spo", terms, strict=True):
         if not is_variable(term):
-            test.append(F.col(place) == term)
+            if not view:
+                test.append(F.col(place) == term)
         elif column(term) in found:
             test.append(F.col(place) == F.col(found[column(term)]))
         else:
             found[column(term)] = place
-    rows = triples.where(reduce(lambda a, b: a & b, test)) if test else triples
+    rows = triples.match(*(None if is_variable(t) else t for t in terms)) if view else triples
+    rows = rows.where(reduce(lambda a, b: a & b, test)) if test else rows
     rows = window(rows) if window else rows
     return rows.select(*(["win_id"] if window else []), *(F.col(p).alias(v) for v, p in found.items()))
 
 
+def star(view, patterns: list[tuple[str, str, str]], window: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+    """Patterns on one subject variable with different constant predicates as one pass over a view's rows.
+
+    None where the view cannot: it has no key, or lacks a predicate.
+    """
+    rows = view.star({p: None if is_variable(o) else o for _, p, o in patterns})
+    if rows is None:
+        return None
+    found, test = {column(patterns[0][0]): "s"}, []
+    for i, (_, _, term) in enumerate(patterns):
+        if is_variable(term):
+            if column(term) in found:
+                test.append(F.col(f"o{i}") == F.col(found[column(term)]))
+            else:
+                found[column(term)] = f"o{i}"
+    rows = rows.where(reduce(lambda a, b: a & b, test)) if test else rows
+    rows = window(rows) if window else rows
+    return rows.select(*(["win_id"] if window else []), *(F.col(c).alias(v) for v, c in found.items()))
+
+
 def _pair(left: DataFrame, right: DataFrame, keys: list[str], loose: set[str]):
     shared = [c for c in left.columns if c in right.columns and c not in keys]
     renamed = right.toDF(*(f"_r_{c}" for c in right.columns))
@@ -55,6 +80,7 @@ def join(left: DataFrame, right: DataFrame, keys: list[str], loose: set[str] = f
     """Natural join on all shared variables; without any, the product inside each window."""
     renamed, tests, out = _pair(left, right, keys, loose)
     if not tests:
+        warnings.warn("two parts of a pattern share no variable and there is no window: their whole product is made", stacklevel=2)
         return left.crossJoin(renamed).select(*out)
     return left.join(renamed, reduce(lambda a, b: a & b, tests), "inner").select(*out)
 
