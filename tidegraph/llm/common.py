@@ -102,6 +102,11 @@ def running(sizes: Column) -> Column:
     return F.flatten(F.zip_with(pieces, before(totals), lambda p, start: F.transform(before(p), lambda x: x + start)))
 
 
+def least_hash(total: int, wanted: int, bits: int = 30) -> int:
+    """A bound for a hash of ``bits`` bits: of ``total`` rows about ``wanted`` are below it, and hardly ever fewer."""
+    return 1 << bits if total <= wanted else int((1 << bits) * min(1.0, (wanted + 6 * wanted**0.5 + 10) / total)) + 1
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, or ``name_1``, ... : a column name that clashes with none (case ignored)."""
     low, out, k = {x.lower() for x in taken}, name, 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import least_hash, tidy
 from .textstats import FEATURES, features, stats_table
 
 
@@ -104,7 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     ids, which are sent to the executors, and its rows, which come to the driver, are ``max_train`` at most.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.min(F.col(label).cast("double")).alias("y"))
-    sample = known.orderBy(F.xxhash64("k"), "k").limit(max_train)
+    low = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < least_hash(known.count(), max_train))  # few rows over the bound
+    sample = low.orderBy(F.pmod(F.xxhash64("k"), F.lit(1 << 30)), "k").limit(max_train)
 
     def run(batches):
         for b in batches:
