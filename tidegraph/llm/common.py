@@ -86,20 +86,30 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often ``use`` refers to it or looks it up from a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running(sizes: Column) -> Column:
     """The sum of all earlier elements, for each element of an array of int.
 
     In pieces of the square root of the array's size: an aggregate that grows an array copies it at each step.
     """
-    each = F.ceil(F.sqrt(F.size(sizes))).cast("int")
-    pieces = F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(1), F.size(sizes), each), lambda i: F.slice(sizes, i, each))).otherwise(F.array().cast("array<array<int>>"))
 
     def before(xs: Column) -> Column:
         zero = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
         return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all")), lambda acc: acc["all"])
 
-    totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x))
-    return F.flatten(F.zip_with(pieces, before(totals), lambda p, start: F.transform(before(p), lambda x: x + start)))
+    def cut(xs: Column) -> Column:
+        each = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        return F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(1), F.size(xs), each), lambda i: F.slice(xs, i, each))).otherwise(F.array().cast("array<array<int>>"))
+
+    def joined(pieces: Column) -> Column:
+        totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x))
+        return F.flatten(F.zip_with(pieces, before(totals), lambda p, start: F.transform(before(p), lambda x: x + start)))
+
+    return let(sizes, lambda xs: let(cut(xs), joined))
 
 
 def least_hash(total: int, wanted: int, bits: int = 30) -> int:
