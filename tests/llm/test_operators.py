@@ -339,6 +339,14 @@ def test_language_and_findings_are_of_all_texts(spark):
     assert 100 <= few < 107
 
 
+def test_cuts_are_of_all_findings(spark):
+    """Cuts are quantiles of all rows, few and far enough apart for Spark's search in about 10,000 rows."""
+    x = [[float(i % 2), i / 1000, 0.0 if i % 50 else 1.0, float(i < 4), *[0.0] * 13] for i in range(40_000)]
+    cuts = secret_scan.cuts_of(spark.createDataFrame([(v,) for v in x], "x array<double>"))
+    assert cuts[0] == [0.5] and cuts[2] == [0.5] and not cuts[3] and not any(cuts[4:])
+    assert len(cuts[1]) == 31 and np.allclose(cuts[1], [1.25 * (k + 1) - 0.0005 for k in range(31)])
+
+
 def test_secrets_planted_into_documents(spark):
     """Precision and recall over documents that the forest was not trained on, with findings it has not seen."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) > 200")

@@ -309,26 +309,74 @@ class Forest:
         return F.aggregate(roots, F.lit(0.0), lambda total, root: total + F.get(value, leaf(root))) / float(len(self.roots))
 
 
-def fit(findings: DataFrame, language: Language, trees: int = 24, depth: int = 8, seed: int = 5):
-    """(Spark's model, its training rows) from labelled findings (value, before, after, label); rows with nulls are not used."""
-    from pyspark.ml.classification import RandomForestClassifier
+def cuts_of(rows: DataFrame, bins: int = 32, digits: int = 3) -> list[list[float]]:
+    """Where each element of the arrays ``x`` may be cut: between its values in all rows, rounded, ``bins`` parts at most.
+
+    A part has at least a hundredth of the rows where values allow, so that Spark, which looks for the places in about
+    10,000 rows, finds all of them.
+    """
+    each = rows.select(F.posexplode("x").alias("f", "v")).groupBy("f", F.round("v", digits).alias("v")).agg(F.count("*").alias("n"))
+    values: dict[int, list] = {}
+    for r in each.orderBy("f", "v").collect():
+        values.setdefault(r.f, []).append((r.v, r.n))
+    out = []
+    for f in range(len(FEATURES)):
+        found = values.get(f, [])
+        total = sum(n for _, n in found)
+        part = total / (100 if len(found) <= bins else bins)
+        cuts, have, rest = [], 0, total
+        for (v, n), (w, _) in zip(found, found[1:], strict=False):
+            have, rest = have + n, rest - n
+            if have >= part and rest >= total / 100:
+                cuts.append((v + w) / 2)
+                have = 0
+        out.append(cuts)
+    return out
+
+
+def _counted(findings: DataFrame, language: Language) -> tuple[DataFrame, DataFrame, list[list[float]]]:
+    """(training rows, the persisted table below them, cuts): a row's features are the numbers of cuts below them."""
     from pyspark.ml.functions import array_to_vector
 
     rows = findings.na.drop(subset=["value", "before", "after", "label"])
     # inside an array function each column is made once, whatever number of features read it
     x = F.transform(F.array(F.struct("value", "before", "after")), lambda f: F.array(*features(f["value"], f["before"], f["after"], language)))
-    rows = rows.select(array_to_vector(F.get(x, F.lit(0))).alias("features"), F.col("label").cast("double").alias("label"))
-    rows = rows.persist()
+    raw = rows.select(F.get(x, F.lit(0)).alias("x"), F.col("label").cast("double").alias("label")).persist()
+    cuts = cuts_of(raw)
+    table = F.transform(_table([" ".join(map(repr, c)) for c in cuts]), lambda c: F.filter(F.split(c, " "), lambda y: y != "").cast("array<double>"))
+    below = F.zip_with("x", table, lambda v, c: F.size(F.filter(c, lambda y: y < v)).cast("double"))
+    return raw.select(array_to_vector(below).alias("features"), "label"), raw, cuts
+
+
+def _grown(rows: DataFrame, trees: int = 24, depth: int = 8, seed: int = 5):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rows.persist()
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
     rows.unpersist()
+    return model
+
+
+def fit(findings: DataFrame, language: Language, **how):
+    """(Spark's model, its training rows) from labelled findings (value, before, after, label); rows with nulls are not used."""
+    rows, raw, _ = _counted(findings, language)
+    model = _grown(rows, **how)
+    raw.unpersist()
     return model, rows
 
 
 def train(findings: DataFrame, language: Language = Language(), **how) -> Forest:
-    model, _ = fit(findings, language, **how)
+    rows, raw, cuts = _counted(findings, language)
+    model = _grown(rows, **how)
+    raw.unpersist()
+
+    def raised(t):
+        """The tree by features, not by numbers of cuts."""
+        return t if isinstance(t, float) else (t[0], cuts[t[0]][int(t[1])], raised(t[2]), raised(t[3]))
+
     out = []
     for block in re.split(r"\n\s*Tree \d+ \(weight [^)]*\):\n", model.toDebugString)[1:]:
-        out.append(_tree([x for x in block.split("\n") if x.strip()])[0])
+        out.append(raised(_tree([x for x in block.split("\n") if x.strip()])[0]))
     return Forest(out, language)
 
 
