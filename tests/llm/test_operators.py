@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -13,7 +14,8 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidegraph.llm import bpe_replay, chat_format, cube_mix, minhash_join, ogg_media, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_arrow
+from tidegraph.llm import bpe_replay, chat_format, cube_mix, graph, minhash_join, ogg_media, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_arrow
+from tidegraph.llm.common import written
 from tidegraph.llm.queries import queries
 from tidegraph.llm.textstats import NAMES, stats
 
@@ -607,6 +609,28 @@ def test_links_on_bit_sets():
     assert 0 < len(few) < 60 and len(minhash_join.linked(pairs[:0], sets, 85)) == 0
 
 
+def test_bit_sets_of_a_full_block_are_small():
+    """Two blocks of rows with 65,536 shared shingles: before, 160 MB at once."""
+    flat = np.arange(1 << 16, dtype=np.uint64)
+    sets = [flat[i % 512 :: 512] for i in range(2 * minhash_join.BLOCK)]
+    pairs = np.array([(i, i + 512 + i % 2) for i in range(1000)])
+    tracemalloc.start()
+    got = minhash_join.linked(pairs, sets, 85)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [i % 2 == 0 for i in range(1000)] and peak < 60 << 20
+
+
+def test_steps_of_components_write_few_files(spark, monkeypatch):
+    """A few edges over many partitions: files are in proportion to edges, and the components are right."""
+    made = []
+    monkeypatch.setattr(graph, "written", lambda df, name: made.append(df.rdd.getNumPartitions()) or written(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 10 < 9], "a long, b long").repartition(100)
+    roots = {r.node: r.root for r in graph.components(edges).distinct().collect()}
+    assert roots == {i: i // 10 * 10 for i in range(300)}
+    assert max(made) <= graph.PIECES
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_groups_that_share_lists_without_links(spark, monkeypatch, block):
     """Two large groups of near copies, alike but below the threshold, and strays between: all by brute force."""

@@ -210,16 +210,17 @@ def codec(ranks_path: str, pattern: str, limit: int = 1 << 20) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = True, limit: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = True, limit: int = 1 << 20, chunk: int = 1 << 22) -> DataFrame:
     """``keep`` columns and, of every whole text, n_tokens, ids_sha256 and decoded_sha256 (digests of the
-    little-endian 32-bit ids and of the bytes that they decode to), and ``ids`` (binary) if asked for. A worker remembers up to ``limit`` units."""
+    little-endian 32-bit ids and of the bytes that they decode to), and ``ids`` (binary) if asked for. A worker remembers up to ``limit`` units and has ``chunk`` bytes of
+    text, or one text, in hand."""
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     schema = schema.add("ids", "binary") if with_ids else schema
 
     def run(batches):
         c = codec(ranks_path, pattern, limit)
         for b in batches:
-            for row, data, offsets in text_chunks(b.column(0), 1 << 22):
+            for row, data, offsets in text_chunks(b.column(0), chunk):
                 flat, at = c.encode(data, offsets)
                 ids = [flat[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 digests = [[hashlib.sha256(f(x)).hexdigest() for x in ids] for f in (np.ndarray.tobytes, c.decode)]
@@ -238,8 +239,8 @@ def op7_bpe_replay(spark, sf_dir: str, ranks_path: str | None = None) -> DataFra
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each kept document's ids, with number and digests. Workers come from other stages
-    and remember less here, to leave room for what those have loaded."""
+    and remember less here and take fewer texts at once, to leave room for what those have loaded."""
     small_batches(spark)
     import public_tokenizers as P
 
-    return encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, keep=("doc_id", "lang", "source", "n_chars"), limit=1 << 18)
+    return encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, keep=("doc_id", "lang", "source", "n_chars"), limit=1 << 18, chunk=1 << 20)

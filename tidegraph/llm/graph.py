@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is two aggregations and a join on small rows, then each partition contracts what edges it has;
-nothing is collected but counts. The number of steps grows with the logarithm of the largest component.
+files are in proportion to edges (each one that a task makes may start a process), and nothing is collected
+but counts. The number of steps grows with the logarithm of the largest component.
 Lineage is cut by written tables.
 """
 
@@ -13,6 +14,14 @@ from pyspark.sql import functions as F
 
 from .common import forget, tidy, written
 
+#: Edges of a step's file, about; tables of fewer than EACH * PIECES edges have PIECES files at most.
+EACH, PIECES = 2000, 8
+
+
+def pieces(n: int) -> int:
+    """Partitions for a table of ``n`` small rows."""
+    return max(PIECES, -(-n // EACH))
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours (the larger ones, or the smaller ones and itself) move to its minimum."""
@@ -65,13 +74,13 @@ def _local(edges: DataFrame, most: int = 200_000) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """Columns ``node`` and ``root`` (the component's smallest node) for every node that has an edge."""
-    at = written(_local(edges.where("a <> b")), "edges")
-    mark = None
+    at = written(_local(edges.where("a <> b").coalesce(pieces(edges.count()))), "edges")
+    mark, many = None, pieces(at.count())
     while True:
-        was, at = at, written(_local(_star(_star(at, True), False)), "edges")
+        was, at = at, written(_local(_star(_star(at, True), False).coalesce(many)), "edges")
         forget(was)
         now = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, many = now, pieces(now[0])
     return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

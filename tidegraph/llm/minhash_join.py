@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, free_name, small_batches, tidy, written
-from .graph import components
+from .graph import components, pieces
 from .rolling import LOWER, Prefix, U, mix, text_chunks
 
 SCREEN, SCREEN_LEAST, M = 32, 13, 128
@@ -233,11 +233,13 @@ def merge_lists(sig: np.ndarray, comp: np.ndarray, size: np.ndarray, left: np.nd
     return out
 
 
-def linked(pairs: np.ndarray, elements: list[np.ndarray], percent: int, slab: int = 1 << 16) -> np.ndarray:
+def linked(pairs: np.ndarray, elements: list[np.ndarray], percent: int, slab: int | None = None) -> np.ndarray:
     """True for those of ``pairs`` (rows) whose full sets reach the similarity.
 
-    Shingles that several rows have are numbered, and rows are bit sets of ``slab`` numbers at a time.
+    Shingles that several rows have are numbered, and rows are bit sets of ``slab`` numbers at a time, by
+    default so many that the rows have 2^24 of them together.
     """
+    slab = slab or max(64, (1 << 24) // max(1, len(elements)))
     size = np.array([len(e) for e in elements], np.int64)
     owner = np.repeat(np.arange(len(size)), size)
     flat = np.concatenate(elements) if len(elements) else np.zeros(0, np.uint64)
@@ -255,7 +257,7 @@ def linked(pairs: np.ndarray, elements: list[np.ndarray], percent: int, slab: in
         cells = np.zeros((len(size), -(-width // 64) * 64), bool)
         cells[owner[i:j], number[i:j] - low] = True
         bits = np.packbits(cells, axis=1).view(np.uint64)
-        step = max(1, (1 << 21) // bits.shape[1])
+        step = max(1, (1 << 20) // bits.shape[1])
         for at in range(0, len(pairs), step):
             a, b = pairs[at : at + step, 0], pairs[at : at + step, 1]
             inter[at : at + step] += np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
@@ -373,7 +375,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 13 <= percent <= 100:
         raise ValueError("percent must be from 13 to 100: below, pairs at the threshold may collide nowhere")
     about = written(_describe(docs, id_col, text_col, width), "minhash-docs")
-    classes = written(about.where("key is not null").groupBy("key").agg(F.min(id_col).alias("rep"), F.min(F.struct("k1", "k2")).alias("row"), F.first("sig").alias("sig")), "minhash-classes")
+    classes = written(about.where("key is not null").groupBy("key").agg(F.min(id_col).alias("rep"), F.min(F.struct("k1", "k2")).alias("row"), F.first("sig").alias("sig")).coalesce(pieces(about.count())), "minhash-classes")
     wanted, least = classes.select("row.k1", "row.k2"), screen_least(percent / 100)
     if least:
         # classes go by 64 bits here: two of equal bits would only let both through
@@ -389,7 +391,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     order = tokens.join(counts, "token").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))  # at most M each
     room = F.greatest(F.lit(0), F.lit(prefix - M) + F.size("t"))
-    posted = written(order.select("nid", F.explode(F.slice("t", F.lit(1), room)).alias("t")).select("nid", F.col("t.token").alias("token")), "minhash-posted")
+    many = pieces(nodes.count())
+    posted = written(order.select("nid", F.explode(F.slice("t", F.lit(1), room)).alias("t")).select("nid", F.col("t.token").alias("token")).coalesce(many), "minhash-posted")
     forget(tokens)
     lead = F.min(F.struct(F.xxhash64("nid").alias("h"), F.col("nid").alias("lead")))
     lists = posted.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("nid").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("x"), lead.alias("l")).where("c > 1")
@@ -402,7 +405,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
     merged = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid"))
     # of a list of two the only pair has been counted
-    open_ = written(lists.where("c > 2").join(merged.select("nid", "comp"), "nid").groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token"), "minhash-open")  # so that a frequent value's join can be split
+    open_ = written(lists.where("c > 2").join(merged.select("nid", "comp"), "nid").groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token").coalesce(many), "minhash-open")  # so that a frequent value's join can be split
     left = written(lists.join(open_, "token", "left_semi").select("token", "nid"), "minhash-open-lists")
     forget(lists)
     if not left.isEmpty():
